@@ -17,5 +17,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .language_id import predict_language, train_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = held_out(docs["doc_id"])
+    model = train_language(docs.where(~held))
+    found = predict_language(docs.select("doc_id", "text"), model)
+    return found.withColumn("held_out", held_out(found["doc_id"]))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
