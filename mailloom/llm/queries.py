@@ -28,5 +28,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(found["doc_id"]))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .quality_model import score_quality, train_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_quality(docs, labels.where(~held_out(labels["doc_id"])).withColumnRenamed("quality", "label"))
+    found = score_quality(docs, model)
+    return found.withColumn("held_out", held_out(found["doc_id"]))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
