@@ -38,5 +38,11 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(found["doc_id"]))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
