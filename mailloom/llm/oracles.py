@@ -1,3 +1,20 @@
 """SQL that states the results of this subpackage's queries, where SQL can."""
 
-ORACLES: dict[str, str] = {}
+TOP_K = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  where q.vec_id % 100 = 0
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s
+)
+select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
+"""
+
+ORACLES: dict[str, str] = {"op6_topk_index": TOP_K}

@@ -44,5 +44,12 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_index import exact_top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
