@@ -51,5 +51,36 @@ def op6_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .source_mix import mix_sources
+
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "drawn")
+
+
+def op7_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bin_packing import pack_documents
+    from .source_mix import token_count
+
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs.select("doc_id", token_count(docs["text"]).alias("n_tokens")))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is the quality mark of the document that its address ends in."""
+    from pyspark.sql import functions as F
+
+    from .url_filter import UrlRule, judge_urls, url_parts
+
+    rules = [UrlRule("block", "net/"), UrlRule("allow", "example.net/en/"), UrlRule("block", "example.com/de/"), UrlRule("allow", "org/fr/")]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    item = F.regexp_extract(url_parts(F.col("url"))[1], r"/([0-9]{1,18})(?:\.[a-zA-Z]+)?/?$", 1)
+    marked = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
+    labels = pages.select("page_id", item.try_cast("bigint").alias("doc_id")).join(marked, "doc_id")
+    return judge_urls(pages, labels.select("page_id", "bad"), rules)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
