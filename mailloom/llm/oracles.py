@@ -17,4 +17,38 @@ with v as (
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
 """
 
-ORACLES: dict[str, str] = {"op6_topk_index": TOP_K}
+
+def source_mix_sql() -> str:
+    """The raking and the budget, unrolled."""
+    from .source_mix import DIMS, MixSettings
+
+    s = MixSettings()
+    topic = "case " + " ".join(f"when regexp_matches(text, '{p.replace(chr(92) * 2, chr(92))}') then '{n}'" for n, p in s.topics) + f" else '{s.other_topic}' end"
+    steps = [
+        f"""d as materialized (select doc_id, source, lang, coalesce(source, '(none)') as s, coalesce(lang, '(none)') as l, {topic} as t,
+          cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as k from documents)""",
+        "c as materialized (select s, l, t, sum(k)::double as tokens from d group by all)",
+        "total as materialized (select sum(tokens) as total from c)",
+    ]
+    short = dict(zip(DIMS, "slt", strict=True))
+    for d, c in short.items():
+        steps.append(f"m_{c} as materialized (select {c}, share / sum(share) over () as target from (select {c}, pow(sum(tokens) / greatest((select total from total), 1), {s.tempering[d]}) as share from c group by {c}))")
+    last = "w0"
+    steps.append("w0 as materialized (select *, tokens as weight from c)")
+    n = 0
+    for _ in range(s.sweeps):
+        for c in short.values():
+            n += 1
+            steps.append(f"w{n} as materialized (select s, l, t, tokens, case when have > 0 then weight * target * (select total from total) / have else 0 end as weight from (select *, sum(weight) over (partition by {c}) as have from {last}) join m_{c} using ({c}))")
+            last = f"w{n}"
+    steps.append(f"g as materialized (select *, case when tokens > 0 then weight / tokens else 0 end as per from {last})")
+    steps.append("f0 as materialized (select 0.0::double as f)")
+    for i in range(s.fills):
+        steps.append(f"f{i + 1} as materialized (select case when sum(case when per * f >= 1 then 0 else weight end) > 0 then ({s.budget} * sum(tokens) - sum(case when per * f >= 1 then tokens else 0 end)) / sum(case when per * f >= 1 then 0 else weight end) else max(f) end as f from g, f{i})")
+    return "with " + ",\n".join(steps) + f"""
+select doc_id, source, lang, t as topic, k as n_tokens, round(least(1.0, per * f), 6) as probability,
+  cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 8) as bigint) / 4294967296.0 < least(1.0, per * f) as drawn
+from d join g using (s, l, t), f{s.fills}"""
+
+
+ORACLES: dict[str, str] = {"op6_topk_index": TOP_K, "op3_source_mix": source_mix_sql()}
