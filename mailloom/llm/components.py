@@ -16,6 +16,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     adaptive execution splits; its messages are combined before they are shuffled. Edges of a node
     with itself only make it a node.
     """
+    # before the rounds: a node's smaller neighbours are tied to the least of them instead
+    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("w")))
+    tied = edges.join(least, "u").where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
+    edges = least.withColumnRenamed("w", "v").unionByName(tied)
     both = materialize(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("root")))
     while True:

@@ -296,7 +296,8 @@ def jaccard_classes(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFr
     spark = docs.sparkSession
     small_batches(spark)
     sketch = materialize(_sketch(docs, s))
-    same = sketch.groupBy("text_key").agg(F.min("doc_id").alias("text_id"))
+    # written out, so that the joins with it shuffle anew and a text with very many copies can be split
+    same = materialize(sketch.groupBy("text_key").agg(F.min("doc_id").alias("text_id")))
     member = sketch.select("doc_id", "text_key").join(same, "text_key").select("doc_id", "text_id")
     reps = sketch.join(same.select(F.col("text_id").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi").where("bands is not null")
     tied = connected_components(_ties(reps, s))
