@@ -97,7 +97,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(32)
@@ -110,7 +110,9 @@ class Prefix:
     def __init__(self, buf: np.ndarray):
         self.p, self.q = _powers(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * self.p[:-1], out=self.sums[1:], dtype=np.uint64)
+        term = _BYTE[buf]
+        term *= self.p[:-1]
+        np.cumsum(term, out=self.sums[1:], dtype=np.uint64)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.q[start] + (end - start).astype(np.uint64))
@@ -120,7 +122,11 @@ class Prefix:
         n = len(self.sums) - 1 - length + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        return mix((self.sums[length:] - self.sums[:n]) * self.q[:n])
+        x = self.sums[length:] - self.sums[:n]
+        x *= self.q[:n]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        return x
 
 
 _SPACE = np.zeros(256, bool)

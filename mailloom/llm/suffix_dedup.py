@@ -45,8 +45,9 @@ class SpanSettings:
     span: int = 50
     gram: int = 26
     chunk_bytes: int = 4 << 20
+    cache_bytes: int = 1 << 18
     #: text per bucket; a bucket sees about a twelfth as many fingerprints
-    bucket_bytes: int = 24 << 20
+    bucket_bytes: int = 8 << 20
     #: bytes of regions sorted at once
     sort_bytes: int = 1 << 20
     #: answers of this many bytes at most are sent to all executors; larger ones meet the chunks by a shuffle
@@ -82,37 +83,48 @@ def _slide(x: np.ndarray, width: int, low: np.ufunc) -> np.ndarray:
     return low(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
+def _runs(buf: np.ndarray, off: np.ndarray, s: SpanSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(buf) - s.span + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    pre = Prefix(buf)
+    least = _slide(pre.fixed(s.gram), s.span - s.gram + 1, np.minimum)
+    # starts whose window would leave the text
+    begin = np.maximum(off[:-1], off[1:] - s.span + 1)
+    leaves = _gather(begin, off[1:] - begin)
+    valid = np.ones(n, bool)
+    valid[leaves[leaves < n]] = False
+    new = np.ones(n, bool)
+    new[1:] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])
+    new[off[:-1][off[:-1] < n]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], n) - 1
+    first, last = first[valid[first]], last[valid[first]]
+    # at most 64 starts to a region
+    pieces = (last - first) // 64 + 1
+    if (pieces > 1).any():
+        at = np.repeat(np.arange(len(first)), pieces)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, last = first[at] + 64 * step, np.minimum(first[at] + 64 * step + 63, last[at])
+    return first, last, mix(least[first] ^ np.uint64(0x5851F42D4C957F2D)), pre.of(first, last + s.span)
+
+
 class Regions:
-    """Runs of window starts [first, last] of one text that share their least fingerprint."""
+    """Runs of window starts [first, last] of one text that share their least fingerprint.
+
+    key: of that fingerprint; full: of the bytes that the run's windows cover."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, s: SpanSettings):
-        self.pre = Prefix(buf)
-        n = len(buf) - s.span + 1
-        if n <= 0:
-            self.first = self.last = self.doc = np.empty(0, np.int64)
-            self.key = np.empty(0, np.uint64)
-            return
-        least = _slide(self.pre.fixed(s.gram), s.span - s.gram + 1, np.minimum)
-        # starts whose window would leave the text
-        edge = np.zeros(len(buf) + 1, np.int32)
-        np.add.at(edge, np.maximum(off[:-1], off[1:] - s.span + 1), 1)
-        np.add.at(edge, off[1:], -1)
-        valid = np.cumsum(edge)[:n] == 0
-        new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])
-        new[off[:-1][off[:-1] < n]] = True
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], n) - 1
-        first, last = first[valid[first]], last[valid[first]]
-        # at most 64 starts to a region
-        pieces = (last - first) // 64 + 1
-        if (pieces > 1).any():
-            at = np.repeat(np.arange(len(first)), pieces)
-            step = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            first, last = first[at] + 64 * step, np.minimum(first[at] + 64 * step + 63, last[at])
-        self.first, self.last = first, last
-        self.key = mix(least[first] ^ np.uint64(0x5851F42D4C957F2D))
-        self.doc = np.searchsorted(off, first, "right") - 1
+        parts = []
+        a = 0
+        while a < len(off) - 1:  # texts that fit a processor's cache together
+            b = max(a + 1, int(np.searchsorted(off, off[a] + s.cache_bytes, "right")) - 1)
+            first, last, key, full = _runs(buf[off[a] : off[b]], off[a : b + 1] - off[a], s)
+            parts.append((first + off[a], last + off[a], key, full))
+            a = b
+        empty = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)]
+        self.first, self.last, self.key, self.full = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
+        self.doc = np.searchsorted(off, self.first, "right") - 1
 
     def codes(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct (bucket << 32 | 32 bits of the key); each region's place; which are in two texts here."""
@@ -141,7 +153,7 @@ class Shared:
                 seen[lo:hi] |= np.unpackbits(np.frombuffer(flags[int(b)], np.uint8), count=hi - lo).astype(bool)
         pick = np.flatnonzero(seen[at])
         self.first, self.last, self.doc, key = r.first[pick], r.last[pick], r.doc[pick], r.key[pick]
-        full = r.pre.of(self.first, self.last + s.span)
+        full = r.full[pick]
         owner = ids[self.doc] if len(pick) else np.empty(0, np.int64)
         bucket = key % np.uint64(buckets)
         order = np.lexsort((owner, full, key, bucket))
@@ -224,7 +236,13 @@ def window_classes(data: np.ndarray, first: np.ndarray, count: np.ndarray, span:
 def least_owners(data: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray, owner: np.ndarray, s: SpanSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For entries (regions with the smallest id that holds each): a distinct region's number for
     each entry, and per distinct region's windows the smallest id, with the windows' bounds."""
-    full = Prefix(data).of(first, first + count + s.span - 1)
+    full = np.empty(len(first), np.uint64)
+    end = first + count + s.span - 1
+    a = 0
+    while a < len(first):  # entries lie one after the other; a slice of them at a time
+        b = max(a + 1, int(np.searchsorted(end, first[a] + s.sort_bytes, "right")))
+        full[a:b] = Prefix(data[first[a] : end[b - 1]]).of(first[a:b] - first[a], end[a:b] - first[a])
+        a = b
     _, lead, number = np.unique(full, return_index=True, return_inverse=True)
     low = np.full(len(lead), NO_ID, np.int64)
     np.minimum.at(low, number, owner)
@@ -394,16 +412,19 @@ def _result(ids: np.ndarray, off: np.ndarray, buf: np.ndarray, got: Shared, mask
     at = _gather(got.first[some], count)
     step = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
     at = at[(np.repeat(own, count) >> step.astype(np.uint64)) & np.uint64(1) == 1]
-    cover = np.zeros(len(buf) + s.span + 1, np.int32)
+    cover = np.zeros(len(buf) + s.span + 1, np.int8)
     cover[at] += 1  # window starts are distinct
     cover[at + s.span] -= 1
-    gone = np.cumsum(cover)[: len(buf)] > 0
+    gone = np.cumsum(cover, dtype=np.int32)[: len(buf)] > 0
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     heads = off[:-1][off[:-1] < len(buf)]
     begins[heads] = gone[heads]
-    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins)]
-    removed, spans = (x[off[1:]] - x[off[:-1]] for x in sums)
+    doc_of = lambda x: np.bincount(np.searchsorted(off, np.flatnonzero(x), "right") - 1, minlength=len(ids))
+    spans = doc_of(begins)
+    total = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(gone, out=total[1:], dtype=np.int32)
+    removed = total[off[1:]] - total[off[:-1]]
     raw, left = buf.tobytes(), []
     for d in range(len(ids)):
         a, b = off[d], off[d + 1]
