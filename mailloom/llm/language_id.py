@@ -203,8 +203,8 @@ def train_language(docs: DataFrame, s: LanguageSettings = LanguageSettings()) ->
     return LanguageModel(classes, np.hstack([w * idf[:, None], (idf**2)[:, None]]).astype(np.float32), b, _temperature(logits, y[held]), bits)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """lang_pred and score (calibrated probability) for each doc_id, text."""
+def predict_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """lang_pred and score (calibrated probability) for each doc_id, text; keep: columns to pass through."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -229,6 +229,9 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
                         logit = 4 * (n @ table[i]) / max(float(np.linalg.norm(n * idf[i])), 1e-12) + m.bias
                         p = np.exp((logit - logit.max()) / m.temperature)
                         pred[d], score[d] = p.argmax(), p.max() / p.sum()
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, len(texts)), "lang_pred": pa.array(names[pred], pa.string()), "score": pa.array(score)})
+                same = {n: batch.column(n).slice(a, len(texts)) for n in ("doc_id", *keep)}
+                yield pa.RecordBatch.from_pydict(same | {"lang_pred": pa.array(names[pred], pa.string()), "score": pa.array(score)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    given = docs.select("doc_id", "text", *(c for c in keep if c != "text"))
+    kept = "".join(f", `{c}` {given.schema[c].dataType.simpleString()}" for c in keep)
+    return given.mapInArrow(run, f"doc_id long{kept}, lang_pred string, score double")

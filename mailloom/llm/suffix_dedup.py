@@ -57,18 +57,25 @@ class SpanSettings:
 # --- chunk side -------------------------------------------------------------------
 
 
-def _chunks(docs: DataFrame, s: SpanSettings) -> DataFrame:
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _chunks(docs: DataFrame, s: SpanSettings, keep: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
             for a, b, buf, off in text_slices(batch.column(1), s.chunk_bytes):
                 ids = batch.column(0).slice(a, b - a).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([(TaskContext.get().partitionId() << 32) + n]), "ids": pa.array([ids.tobytes()], pa.binary()), "offs": pa.array([off.tobytes()], pa.binary()), "data": pa.array([buf.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([(TaskContext.get().partitionId() << 32) + n]), "ids": pa.array([ids.tobytes()], pa.binary()), "offs": pa.array([off.tobytes()], pa.binary()), "data": pa.array([buf.tobytes()], pa.binary()), "kept": pa.array([_ipc(batch.select(range(2, batch.num_columns)).slice(a, b - a)) if keep else b""], pa.binary())})
                 n += 1
 
     spark = docs.sparkSession
     path = scratch(spark)
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "chunk long, ids binary, offs binary, data binary")
+    made = docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, "chunk long, ids binary, offs binary, data binary, kept binary")
     # small row groups, as readers decode a whole one
     made.write.option("compression", "zstd").option("parquet.block.size", 4 * s.chunk_bytes).parquet(path)
     return spark.read.schema(made.schema).parquet(path)
@@ -290,23 +297,24 @@ def _by_bucket(rows: DataFrame, answer, schema: str) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def _meet(chunks: DataFrame, notes: DataFrame, limit: int) -> DataFrame:
+def _meet(chunks: DataFrame, notes: DataFrame, limit: int, *more: str) -> DataFrame:
     """notes: chunk, bucket, and binary columns; joined to the chunks as one array of structs."""
     packed = [c for c in notes.columns if c not in ("chunk", "bucket")]
     size = notes.agg(F.sum(sum((F.length(c) for c in packed), F.lit(24)))).first()[0] or 0
     each = notes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", *packed)).alias("notes"))
     if size <= limit:
         each = F.broadcast(each)
-    return chunks.join(each, "chunk", "left").select("chunk", "ids", "offs", "data", "notes")
+    return chunks.join(each, "chunk", "left").select("chunk", "ids", "offs", "data", "notes", *more)
 
 
-def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per text; with_text adds what is left.
+    keep: further columns to pass through.
 
     In the remaining text, parts of characters that a cut has split are dropped.
     """
     small_batches(docs.sparkSession)
-    chunks = _chunks(docs, s)
+    chunks = _chunks(docs, s, keep)
     total = chunks.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = max(8, -(-int(total) // s.bucket_bytes))
 
@@ -397,10 +405,15 @@ def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text:
                         state = np.frombuffer(answers[int(b)]["states"], np.uint8)
                         mask[lo:hi][state == 1] = np.uint64(0xFFFFFFFFFFFFFFFF)
                         mask[lo:hi][state == 2] = np.frombuffer(answers[int(b)]["masks"], np.uint64)
-                yield _result(ids, off, buf, got, mask, s, with_text)
-
-    out = _meet(chunks, both, s.broadcast_bytes).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
-    return out
+                out = _result(ids, off, buf, got, mask, s, with_text)
+                if keep:
+                    for name, column in zip(keep, pa.ipc.open_stream(batch.column(5)[i].as_buffer()).read_all().columns, strict=True):
+                        out = out.append_column(name, column.combine_chunks())
+                yield out
+
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text + kept
+    return _meet(chunks, both, s.broadcast_bytes, "kept").mapInArrow(cut, schema)
 
 
 def _result(ids: np.ndarray, off: np.ndarray, buf: np.ndarray, got: Shared, mask: np.ndarray, s: SpanSettings, with_text: bool) -> pa.RecordBatch:
