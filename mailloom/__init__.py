@@ -1,0 +1 @@
+"""Evidence-checked message analytics on Spark."""

@@ -106,8 +106,9 @@ def status(has_extraction: Column, has_verification: Column, same_thread: Column
 
 def experience(claims: Column) -> Column:
     """The valid claims by type, as a map of ten lists; facts have none."""
-    pairs: list[Column] = []
-    for kind, name in EXPERIENCE_FIELDS.items():
-        own = F.filter(claims, lambda c, k=kind: c["type"] == k)
-        pairs += [F.lit(name), F.transform(own, lambda c: F.struct(c["claim_id"].alias("claim_id"), c["text"].alias("text"), c["message_ids"].alias("message_ids"), c["evidence_quotes"].alias("evidence_quotes")))]
-    return F.create_map(*pairs)
+
+    def of(kind: str) -> Column:
+        own = F.filter(claims, lambda c: c["type"] == kind)
+        return F.transform(own, lambda c: F.struct(*(c[f].alias(f) for f in ("claim_id", "text", "message_ids", "evidence_quotes"))))
+
+    return F.create_map(*(x for kind, name in EXPERIENCE_FIELDS.items() for x in (F.lit(name), of(kind))))

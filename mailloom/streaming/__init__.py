@@ -1,0 +1 @@
+"""Incremental ingestion as a stream of files."""
