@@ -144,7 +144,9 @@ class Regions:
 
 
 def _split(sorted_buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.concatenate([[True], sorted_buckets[1:] != sorted_buckets[:-1]])) if len(sorted_buckets) else np.empty(0, int)
+    if not len(sorted_buckets):
+        return sorted_buckets, np.empty(0, np.int64), np.empty(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], sorted_buckets[1:] != sorted_buckets[:-1]]))
     return sorted_buckets[cut], cut, np.append(cut[1:], len(sorted_buckets))
 
 
