@@ -29,7 +29,7 @@ class LineRules:
     #: marks of `noise` per word from which a line fails
     noise_per_word: float = 0.3
     noise: bytes = b"!#$%&*|<>@^~{}="
-    #: a line of so many words needs a closing mark
+    #: a line of so many words needs a closing mark after one of them
     close_from: int = 12
     closing: bytes = b".!?:;,)\"'\xbb\x9d\x99\xa6\x82\x89"  # last byte of the closing marks, also of their UTF-8 forms
     #: separators per word from which a line counts as navigation
@@ -96,8 +96,8 @@ def judge(buf: np.ndarray, off: np.ndarray, r: LineRules) -> dict[str, np.ndarra
     count = lambda marks: sums_at_range(_table(marks)[buf], ls, le)
     fail_noise = count(r.noise) > r.noise_per_word * words
     fail_nav = count(r.nav) > r.nav_per_word * words
-    last = np.where(words > 0, w.end[np.maximum(b, 1) - 1] - 1 if len(w.end) else 0, 0)
-    fail_close = (words >= r.close_from) & ~_table(r.closing)[buf[last] if len(buf) else last]
+    closed = _table(r.closing)[buf[w.end - 1]]
+    fail_close = (words >= r.close_from) & (sums_at_range(closed, a, b) == 0)
     fail_boiler = np.zeros(len(ls), bool)
     if r.boilerplate:
         found = [m.start() for m in re.finditer(rb"(?i)" + r.boilerplate, buf.tobytes())]
