@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailloom.functions import html, text
-from mailloom.operators import batches, merge, reports, threads
+from mailloom.operators import batches, merge, quotes_found, reports, threads
 
 #: quotes that are sent to every executor at most; more are found through their words
 BROADCAST_QUOTES = 5_000
@@ -124,7 +124,7 @@ def evidence_hits(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     q = quotes.select("item_id", text.normalized_evidence(F.col("text")).alias("quote")).where(F.length("quote") >= text.LEAST_QUOTE)
     d = docs.select("doc_id", text.normalized_evidence(F.col("text")).alias("body"))
     if q.count() <= BROADCAST_QUOTES:
-        return d.join(F.broadcast(q), F.col("body").contains(F.col("quote"))).select("doc_id", "item_id")
+        return quotes_found.search(d, q)
     # whole words inside the quote must be words of the text: meet on three of them
     words = F.split("quote", " ")
     key = lambda w, at: F.xxhash64(w[at], w[at + 1], w[at + 2])
@@ -205,7 +205,7 @@ def claim_validate(spark, sf):
     from mailloom.operators import validate
 
     docs, quotes = _t(spark, sf, "documents"), _t(spark, sf, "benchmark")
-    hits = evidence_hits(quotes, docs).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    hits = evidence_hits(quotes, docs).groupBy("item_id").agg(F.min("doc_id").alias("doc_id")).persist()
     named = quotes.join(hits, "item_id", "left").withColumn("m", F.coalesce(F.col("doc_id"), F.lit(0)).cast("string"))
     claim = F.struct(
         F.concat(F.lit("c"), (F.col("item_id") % 9).cast("string")).alias("claim_id"), F.when(F.col("item_id") % 7 == 0, "guess").otherwise("fact").alias("type"), F.substring("text", 1, 20).alias("text"),
