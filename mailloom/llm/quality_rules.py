@@ -31,7 +31,7 @@ class LineRules:
     noise: bytes = b"!#$%&*|<>@^~{}="
     #: a line of so many words needs a closing mark after one of them
     close_from: int = 12
-    closing: bytes = b".!?:;,)\"'\xbb\x9d\x99\xa6\x82\x89"  # last byte of the closing marks, also of their UTF-8 forms
+    closing: str = ".!?:;,)\"'»”’…。！？"
     #: separators per word from which a line counts as navigation
     nav: bytes = b"|>"
     nav_per_word: float = 0.2
@@ -49,6 +49,19 @@ def _table(marks: bytes) -> np.ndarray:
 _SYMBOLS = _table(b"#*$%&|<>")
 
 
+def _ends_with(buf: np.ndarray, w: Words, marks: str) -> np.ndarray:
+    """Which words end with one of the marks."""
+    last = buf[w.end - 1] if len(w.end) else np.empty(0, np.uint8)
+    out = _table("".join(m for m in marks if m < "\x80").encode())[last]
+    other = np.flatnonzero(last >= 0x80)
+    for m in (m.encode() for m in marks if m >= "\x80"):
+        hit = other[w.end[other] - w.start[other] >= len(m)]
+        for k, b in enumerate(reversed(m)):
+            hit = hit[buf[w.end[hit] - 1 - k] == b]
+        out[hit] = True
+    return out
+
+
 def _line_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     nl = np.flatnonzero(buf == 10)
     start = np.sort(np.concatenate([off[:-1], nl + 1]), kind="stable")
@@ -96,7 +109,7 @@ def judge(buf: np.ndarray, off: np.ndarray, r: LineRules) -> dict[str, np.ndarra
     count = lambda marks: sums_at_range(_table(marks)[buf], ls, le)
     fail_noise = count(r.noise) > r.noise_per_word * words
     fail_nav = count(r.nav) > r.nav_per_word * words
-    closed = _table(r.closing)[buf[w.end - 1]]
+    closed = _ends_with(buf, w, r.closing)
     fail_close = (words >= r.close_from) & (sums_at_range(closed, a, b) == 0)
     fail_boiler = np.zeros(len(ls), bool)
     if r.boilerplate:

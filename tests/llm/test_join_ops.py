@@ -303,7 +303,7 @@ def test_sql_of_queries(spark):
     if not os.path.isdir(sf):
         pytest.skip("no test data")
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in ORACLES.items():
         want = c.execute(sql)
