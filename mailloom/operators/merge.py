@@ -32,7 +32,7 @@ def merge_source(messages: DataFrame, links: DataFrame, incoming: DataFrame, sou
     incoming = latest_by_key(incoming, ["email_id"], [F.col("source_index")])
     fresh = incoming.drop("source_index")
     if not is_json:
-        held = links.join(F.broadcast(json_sources.select("source_file_id")), "source_file_id", "left_semi").select("email_id").distinct()
+        held = links.join(json_sources.select("source_file_id"), "source_file_id", "left_semi").select("email_id").distinct()
         keep = messages.select("email_id").join(held, "email_id", "left_semi")
         fresh = fresh.join(keep, "email_id", "left_anti")
     merged = messages.join(fresh.select("email_id"), "email_id", "left_anti").unionByName(fresh)

@@ -1,8 +1,13 @@
-"""The store: immutable snapshots with a pointer to the current one, and append-only logs."""
+"""The store: immutable tables, numbered commits that name the tables in force, and append-only logs.
+
+A commit is one small file that appears by one rename; the highest number is in force, so there is
+never a moment without one. A table that a commit does not change is named again, not written again.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,18 +40,25 @@ class Store:
 
     def init(self) -> Store:
         """Create the store if there is none."""
-        if not self._fs.exists(self._path(f"{self.root}/CURRENT")):
-            self._fs.mkdirs(self._path(self.root))
+        if not self.version():
             self.commit(**{n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
         return self
 
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def _commits(self) -> list[int]:
+        return sorted(int(n.removesuffix(".commit")) for n in self._names("commits") if n.endswith(".commit"))
+
     def version(self) -> int:
-        p = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(p):
-            return 0
-        stream = self._fs.open(p)
+        """The number of the commit in force; 0 if there is none."""
+        return max(self._commits(), default=0)
+
+    def _tables(self, version: int) -> dict[str, str]:
+        stream = self._fs.open(self._path(f"{self.root}/commits/{version:010d}.commit"))
         try:
-            return int(json.loads(bytes(stream.readAllBytes()).decode())["version"])
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
@@ -56,19 +68,38 @@ class Store:
             if not self._fs.exists(self._path(path)):
                 return self.spark.createDataFrame([], LOGS[name])
             return self.spark.read.schema(LOGS[name]).parquet(path)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/v{self.version()}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{self._tables(self.version())[name]}")
 
     def commit(self, **tables: DataFrame) -> None:
-        """Write a whole new version, then move the pointer in one rename."""
-        v = self.version() + 1
-        for name in SCHEMAS:
-            (tables[name] if name in tables else self.table(name)).write.mode("overwrite").parquet(f"{self.root}/v{v}/{name}")
-        fresh, current = self._path(f"{self.root}/CURRENT.{v}"), self._path(f"{self.root}/CURRENT")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
+        """Write the tables given, keep the others as they are, and put both in force at once."""
+        v = self.version()
+        named = self._tables(v) if v else {}
+        for name, rows in tables.items():
+            named[name] = f"data/{name}-{uuid.uuid4().hex}"
+            rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(f"{self.root}/{named[name]}")
+        fresh, target = self._path(f"{self.root}/commits/{uuid.uuid4().hex}.tmp"), self._path(f"{self.root}/commits/{v + 1:010d}.commit")
+        out = self._fs.create(fresh, False)
+        out.write(bytearray(json.dumps(named).encode()))
         out.close()
-        self._fs.delete(current, False)
-        self._fs.rename(fresh, current)
+        if self._fs.exists(target) or not self._fs.rename(fresh, target):
+            self._fs.delete(fresh, False)
+            raise RuntimeError(f"another writer made commit {v + 1}")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the tables that only commits before the last `keep` name; returns their number."""
+        if keep < 1:
+            raise ValueError("keep must be at least 1")
+        commits = self._commits()
+        used = {t for v in commits[-keep:] for t in self._tables(v).values()}
+        gone = {t for v in commits[:-keep] for t in self._tables(v).values()} - used
+        for v in commits[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/commits/{v:010d}.commit"), False)
+        for t in gone:
+            self.remove(t)
+        return len(gone)
+
+    def remove(self, folder: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{folder}"), True)
 
     def append(self, name: str, rows: DataFrame) -> None:
         rows.select(*self.spark.createDataFrame([], LOGS[name]).columns).write.mode("append").parquet(f"{self.root}/{name}")

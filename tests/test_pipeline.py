@@ -4,12 +4,14 @@ import csv
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from mailloom.cli import main
 from mailloom.operators import provider as P
 from mailloom.operators import reports
 from mailloom.plans.analyze import analyze
 from mailloom.plans.ingest import ingest
+from mailloom.sources.readers import parse_files, read_files
 from mailloom.sources.store import Store
 
 
@@ -169,3 +171,94 @@ def test_watch(store, tmp_path):
     put(tmp_path / "in" / "a.json", [{"id": "1", "body": "b"}])
     watch(store, str(tmp_path / "in"), str(tmp_path / "cp")).awaitTermination(60)
     assert store.table("messages").count() == 1
+
+
+def bodies(store):
+    return {r["email_id"]: r["body"] for r in store.table("messages").collect()}
+
+
+def test_awkward_file_names(store, tmp_path):
+    names = ["a b.json", "c [1].json", "d{x}.json", "e*.json", "f%20g.json", "_h.json", ".i.json"]
+    for n in names:
+        put(tmp_path / n, [{"id": n, "body": n}])
+    got = ingest(store, [str(tmp_path / n) for n in names])
+    assert (got["files_imported"], got["files_failed"]) == (len(names), 0)
+    assert bodies(store) == {n: n for n in names}
+    assert {r["path"].rsplit("/", 1)[-1] for r in store.table("sources").collect()} == set(names)
+    assert ingest(store, [str(tmp_path / n) for n in names])["files_skipped"] == len(names)
+
+
+def test_hidden_files_need_a_folder(store, tmp_path):
+    with pytest.raises(ValueError):
+        read_files(store.spark, [put(tmp_path / "_a.json", [])])
+
+
+def test_file_that_changes_while_read(store, tmp_path):
+    path = put(tmp_path / "a.json", [{"id": "1", "body": "x"}])
+    files = read_files(store.spark, [path])
+    row = parse_files(files.withColumn("expected", F.lit("0" * 64))).first()
+    assert "changed" in row["error"] and row["email_id"] is None
+    assert parse_files(files.withColumn("expected", F.col("sha256"))).first()["error"] is None
+
+
+def test_no_moment_without_a_commit(store, tmp_path):
+    ingest(store, [put(tmp_path / "a.json", [{"id": "1", "body": "x"}])])
+    v, commits = store.version(), tmp_path / "store" / "commits"
+    (commits / "half.tmp").write_text("{")  # a writer that died before its rename
+    assert Store(store.spark, store.root).init().version() == v and bodies(store) == {"1": "x"}
+    (commits / f"{v + 1:010d}.commit").write_text((commits / f"{v:010d}.commit").read_text())
+    store.version = lambda: v  # a writer that does not know of it
+    with pytest.raises(RuntimeError):
+        store.commit()
+
+
+def test_unchanged_tables_are_named_again(store, tmp_path):
+    ingest(store, [put(tmp_path / "a.json", [{"id": "1", "body": "x"}])])
+    before = store._tables(store.version())
+    store.commit(sources=store.table("sources"))
+    after = store._tables(store.version())
+    assert after["messages"] == before["messages"] and after["sources"] != before["sources"]
+    assert store.vacuum(keep=1) > 0 and bodies(store) == {"1": "x"}
+    assert store.vacuum(keep=1) == 0
+    with pytest.raises(ValueError):
+        store.vacuum(keep=0)
+
+
+def test_changed_and_new_files_together_as_one_after_the_other(spark, tmp_path):
+    """New, changed, shrunk and failing sources in one import give what importing each alone gives."""
+    first = {
+        "b.json": [{"id": "1", "body": "b1"}, {"id": "2", "body": "b2"}, {"id": "9", "body": "b9"}],
+        "d.csv": [("2", "d2"), ("3", "d3"), ("9", "d9")],
+        "f.json": [{"id": "4", "body": "f4"}],
+        "h.json": [{"id": "8", "body": "h8"}],
+    }
+    then = {
+        "a.csv": [("1", "a1"), ("3", "a3"), ("5", "a5")],
+        "b.json": [{"id": "1", "body": "b1x"}],
+        "c.json": [{"id": "3", "body": "c3"}, {"id": "6", "body": "c6"}, {"id": "6", "body": "c6 again"}],
+        "d.csv": [("3", "d3x"), ("7", "d7"), ("9", "d9x")],
+        "e.json": [{"id": "5", "body": "e5"}],
+        "f.json": "[1]",
+        "g.csv": [("6", "g6"), ("2", "g2")],
+    }
+
+    def write(folder, files):
+        folder.mkdir(exist_ok=True)
+        for name, rows in files.items():
+            if name.endswith("csv"):
+                put_csv(folder / name, [{"email_id": i, "conversation_id": "t", "body": b, "body_type": "text"} for i, b in rows])
+            else:
+                put(folder / name, rows)
+
+    found = []
+    for k, together in enumerate((True, False)):
+        s, folder = Store(spark, str(tmp_path / f"s{k}")).init(), tmp_path / f"in{k}"
+        write(folder, first)
+        ingest(s, [str(folder)])
+        write(folder, then)
+        for paths in [[str(folder)]] if together else [[str(folder / n)] for n in sorted(then)]:
+            ingest(s, paths)
+        name = {r["source_file_id"]: r["path"].rsplit("/", 1)[-1] for r in s.table("sources").collect()}
+        found.append((bodies(s), sorted((r["email_id"], name[r["source_file_id"]], r["source_index"]) for r in s.table("links").collect())))
+    assert found[0] == found[1]
+    assert found[0][0]["4"] == "f4" and found[0][0]["8"] == "h8" and found[0][0]["6"] == "c6 again"
