@@ -18,6 +18,9 @@ from mailloom.operators.reports import DONE, packing_summary
 from mailloom.operators.threads import rank_threads, thread_documents
 from mailloom.sources.store import LOGS, Store, now
 
+#: bytes of a row group of the batches' documents
+MEMBER_BYTES = 4 << 20
+
 
 def document_size(document: Column) -> Column:
     """Code points of the document as JSON with spaced separators, as the limit counts them."""
@@ -66,6 +69,8 @@ def analyze(
     batched = spark.read.parquet(f"{work}-batches")
     plan = packing_summary(batched, "size").first().asDict()
     if dry_run:
+        store.remove(work.removeprefix(f"{store.root}/"))
+        store.remove(f"{work}-batches".removeprefix(f"{store.root}/"))
         return {"dry_run": True} | plan
     if call is None:
         raise ValueError("a provider is needed to analyse")
@@ -75,11 +80,16 @@ def analyze(
         reason = F.to_json(F.struct(F.lit("thread exceeds the size limit").alias("reason"), F.col("size").alias("character_count")))
         store.append("analyses", _rows(over.select("thread_id", F.col("fingerprint").alias("source_fingerprint"), F.lit("oversized").alias("status"), reason.alias("extraction_json"))))
     invocation = uuid.uuid4().hex[:8]
-    members = docs.join(batched.select("thread_id", "batch"), "thread_id")
+    # in order of batch, so that reading one batch opens the few row groups that hold it
+    members = docs.join(batched.where("batch is not null").select("thread_id", "batch"), "thread_id")
+    members.repartitionByRange("batch").sortWithinPartitions("batch").write.option("parquet.block.size", MEMBER_BYTES).parquet(f"{work}-members")
+    members = spark.read.schema(members.schema).parquet(f"{work}-members")
     for b in range(plan["batches"]):
         # one batch is max_threads documents of max_chars together
         rows = members.where(F.col("batch") == b).orderBy("place", F.desc("latest"), "thread_id").select("thread_id", "fingerprint", F.to_json("document", {"ignoreNullFields": "false"}).alias("json")).collect()
         summary.update(_one_batch(store, b, invocation, [r.asDict() for r in rows], owner, model, verifier_model or model, call, retries, sleep))
+    for name in (work, f"{work}-batches", f"{work}-members"):
+        store.remove(name.removeprefix(f"{store.root}/"))
     return dict(summary)
 
 

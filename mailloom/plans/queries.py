@@ -134,8 +134,15 @@ def evidence_hits(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     met = d.select("doc_id", F.explode(F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))).alias("key"))
     pairs = met.join(long.select("key", "item_id", "quote"), "key").select("doc_id", "item_id", "quote")
     hits = pairs.join(d, "doc_id").where(F.col("body").contains(F.col("quote"))).select("doc_id", "item_id")
-    short = d.join(q.where(F.size(words) < 5), F.col("body").contains(F.col("quote"))).select("doc_id", "item_id")
-    return hits.unionByName(short)
+    # quotes of fewer words share no such key: a pass over the texts for each block of different ones
+    short = q.where(F.size(words) < 5)
+    once = short.groupBy("quote").agg(F.min("item_id").alias("item_id"))
+    blocks = -(-once.count() // BROADCAST_QUOTES)
+    for b in range(blocks):
+        block = once.where(F.pmod(F.xxhash64("quote"), F.lit(blocks)) == b)
+        found = quotes_found.search(d, block).join(block, "item_id").drop("item_id").join(short, "quote")
+        hits = hits.unionByName(found.select("doc_id", "item_id"))
+    return hits
 
 
 def evidence_check(spark, sf):

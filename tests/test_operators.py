@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mailloom.functions import html, text
 from mailloom.operators import batches, merge, provider, threads, validate
+from mailloom.plans import queries
 from mailloom.sources import records
 
 
@@ -77,6 +78,19 @@ def test_evidence(spark):
     assert [r["hit"] for r in got] == [True, False, False, True] and got[3]["f"] == "strasse weit"
 
 
+@pytest.mark.parametrize("most", [2, 100])
+def test_quotes_found_either_way(spark, monkeypatch, most):
+    """Few quotes are searched for in one pass, many by their words and in blocks; both as a plain search."""
+    monkeypatch.setattr(queries, "BROADCAST_QUOTES", most)
+    bodies = ["the quick brown fox jumps over the lazy dog", "The  quick\nbrown fox jumps", "lazy dogs everywhere", "", None, "one two three four five six seven", "x" * 50]
+    quotes = ["quick brown", "quick  BROWN", "e quick brown fox jum", "lazy dog", "two three four five si", "xxxxxxxxxx", "no such quote here at all", "short", "", None, "fox jumps over the lazy", "quick brown"]
+    d = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
+    plain = lambda t: " ".join((t or "").split()).lower()
+    want = sorted((i, k) for i, b in enumerate(bodies) for k, x in enumerate(quotes) if len(plain(x)) >= 8 and plain(x) in plain(b))
+    assert sorted(tuple(r) for r in queries.evidence_hits(q, d).select("doc_id", "item_id").collect()) == want and want
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
