@@ -177,7 +177,9 @@ def bodies(store):
     return {r["email_id"]: r["body"] for r in store.table("messages").collect()}
 
 
-def test_awkward_file_names(store, tmp_path):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_awkward_file_names(store, tmp_path, monkeypatch, most):
+    monkeypatch.setattr("mailloom.plans.ingest.BROADCAST_FILES", most)
     names = ["a b.json", "c [1].json", "d{x}.json", "e*.json", "f%20g.json", "_h.json", ".i.json"]
     for n in names:
         put(tmp_path / n, [{"id": n, "body": n}])
