@@ -15,7 +15,7 @@ from mailloom.llm.common import materialize, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a language is rejected below this probability
 LEAST_LANGUAGE = 0.5
-#: expected share of the tokens that the mix draws
+#: largest expected share of the tokens that the mix draws; the targets may allow less
 MIX_BUDGET = 0.9
 
 
@@ -44,7 +44,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens meet the target shares of sources, languages and topics."""
-    drawn = source_mix.mix_sources(docs, source_mix.MixSettings(budget=MIX_BUDGET))
+    drawn = source_mix.mix_sources(docs, source_mix.MixSettings(budget=MIX_BUDGET, bounded=True))
     return drawn.where("drawn").select(*COLUMNS)
 
 

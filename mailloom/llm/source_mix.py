@@ -2,8 +2,11 @@
 
 Token counts per (source, language, topic) cell are raked until the three marginals meet their
 targets. A text's inclusion probability is its cell's weight per token times one factor, at most
-one; the factor is set so that the expected number of sampled tokens meets the budget. A text is
-drawn by a hash of its id, so that the sample is stable.
+one; the factor is set so that the expected number of sampled tokens meets the budget. Cells that
+are drawn whole then fall short of their weights, and the margins with them. With `bounded` the
+probabilities themselves are raked, none above one, so that the margins of the expected sample meet
+their targets; the budget is then the most that is spent, for a value can give no more tokens than
+it has. A text is drawn by a hash of its id, so that the sample is stable.
 
 Cases: a null source or language is the category `(none)`; null and empty texts have no tokens,
 weight nothing, and are drawn with their cell's probability; a cell alone in its margins keeps its
@@ -38,6 +41,12 @@ class MixSettings:
     #: expected share of all tokens that is drawn
     budget: float = 0.7
     fills: int = 6
+    #: the expected sample meets the targets, if need be below the budget
+    bounded: bool = False
+    #: largest miss of a margin, as a share of the expected sample, at which bounded raking ends
+    tolerance: float = 1e-6
+    #: bounded raking that has not met the targets after so many sweeps starts again with less
+    bounded_sweeps: int = 40
 
 
 def token_count(text: Column) -> Column:
@@ -51,10 +60,9 @@ def _dims(docs: DataFrame, s: MixSettings) -> DataFrame:
     return docs.withColumns({"__source": F.coalesce("source", F.lit(NONE)), "__lang": F.coalesce("lang", F.lit(NONE)), "__topic": topic})
 
 
-def rake(cells: DataFrame, s: MixSettings) -> DataFrame:
-    """cells: source, lang, topic, tokens. Adds weight: tokens scaled until the margins meet their targets."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+def _targets(cells: DataFrame, s: MixSettings, total: int) -> DataFrame:
+    """Adds the target share of the cell's value in each margin."""
+    out = cells
     for d in DIMS:
         own = F.sum("tokens").over(Window.partitionBy(d)) / F.lit(max(total, 1))
         target = F.pow(own, F.lit(s.tempering.get(d, 1.0)))
@@ -66,6 +74,13 @@ def rake(cells: DataFrame, s: MixSettings) -> DataFrame:
         # the targets of a margin sum to one
         norm = out.groupBy(d).agg(F.max(f"t_{d}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
         out = out.withColumn(f"t_{d}", F.col(f"t_{d}") / F.lit(norm))
+    return out
+
+
+def rake(cells: DataFrame, s: MixSettings) -> DataFrame:
+    """cells: source, lang, topic, tokens. Adds weight: tokens scaled until the margins meet their targets."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    out = _targets(cells.withColumn("weight", F.col("tokens").cast("double")), s, total)
     for sweep in range(s.sweeps):
         for d in DIMS:
             have = F.sum("weight").over(Window.partitionBy(d))
@@ -90,12 +105,58 @@ def inclusion(cells: DataFrame, s: MixSettings) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("per_token") * F.lit(factor)))
 
 
+def _miss(cells: DataFrame, value: Column, whole: float) -> float:
+    """The largest difference of a margin's share of the whole from its target."""
+    off = [F.abs(F.sum(value).over(Window.partitionBy(d)) / F.lit(whole) - F.col(f"t_{d}")) for d in DIMS]
+    return cells.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0
+
+
+def bounded_inclusion(cells: DataFrame, s: MixSettings) -> DataFrame:
+    """Adds probability: at most one, with the targets as the margins of the expected tokens.
+
+    A cell's probability is least(1, scale), its scale a product of a factor for each of its values.
+    A sweep sets the factors x of one margin after the other so that a value's expected tokens, the
+    sum of least(1, x scale) tokens, are what it needs: with the larger scales first, x is the
+    greatest over the cells of (need - tokens before the cell) / (scale tokens from the cell on).
+    The least scale that draws every cell is taken where a value needs all its tokens.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    empty = cells.where("tokens = 0").withColumn("probability", F.lit(0.0))
+    aimed = _targets(cells.where("tokens > 0"), s, total)
+    tokens = F.col("tokens")
+    reach = [F.try_divide(F.sum("tokens").over(Window.partitionBy(d)) / F.lit(max(total, 1.0)), F.col(f"t_{d}")) for d in DIMS]
+    # no value can give more than all its tokens
+    most = aimed.select(F.least(*reach).alias("reach")).agg(F.min("reach")).first()[0]
+    budget = min(s.budget, 1.0 if most is None else most)
+    raked = inclusion(rake(cells.where("tokens > 0"), s), s)
+    # the weights meet the targets without any bound while the largest of them stays below one
+    floor = min(budget, 1.0 / (raked.agg(F.max("per_token")).first()[0] or 1.0))
+    while budget > floor:
+        out = aimed.withColumn("scale", F.lit(budget))
+        for _ in range(s.bounded_sweeps):
+            for d in DIMS:
+                all_of, need = Window.partitionBy(d), F.col(f"t_{d}") * F.lit(budget * total)
+                ahead = all_of.orderBy(F.desc("scale"), *DIMS).rowsBetween(Window.unboundedPreceding, -1)
+                on = all_of.orderBy("scale", *(F.desc(c) for c in DIMS)).rowsBetween(Window.unboundedPreceding, 0)
+                x = F.try_divide(need - F.coalesce(F.sum(tokens).over(ahead), F.lit(0)), F.sum(F.col("scale") * tokens).over(on))
+                x = F.when(need >= F.sum(tokens).over(all_of) * F.lit(1 - 1e-12), F.try_divide(F.lit(1.0), F.col("scale"))).otherwise(x)
+                out = out.withColumn("x", x).withColumn("scale", F.col("scale") * F.coalesce(F.max("x").over(all_of), F.lit(1.0))).drop("x")
+            out = materialize(out)
+            if _miss(out, F.least(F.lit(1.0), F.col("scale")) * tokens, budget * total) <= s.tolerance:
+                return out.select(*cells.columns, F.least(F.lit(1.0), F.col("scale")).alias("probability")).unionByName(empty)
+        # the values are out of reach together; within 0.05 of the floor that is taken
+        budget = (budget + floor) / 2 if budget - floor > 0.1 else floor
+    return raked.select(*cells.columns, F.least(F.lit(1.0), F.col("per_token") * F.lit(floor)).alias("probability")).unionByName(empty)
+
+
 def mix_sources(docs: DataFrame, s: MixSettings = MixSettings()) -> DataFrame:
     """docs (doc_id, text, source, lang, ...) with topic, n_tokens, probability and drawn."""
     spark = docs.sparkSession
     parted = _dims(docs, s)
     cells = parted.select(*(F.col(f"__{d}").alias(d) for d in DIMS), token_count(F.col("text")).alias("k")).groupBy(*DIMS).agg(F.sum("k").alias("tokens"))
-    cells = materialize(inclusion(rake(materialize(cells), s), s).select(*(F.col(d).alias(f"__{d}") for d in DIMS), "probability"))
+    cells = materialize(cells)
+    cells = bounded_inclusion(cells, s) if s.bounded else inclusion(rake(cells, s), s)
+    cells = materialize(cells.select(*(F.col(d).alias(f"__{d}") for d in DIMS), "probability"))
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)

@@ -203,6 +203,61 @@ def test_raking_meets_the_targets(spark):
     assert sum(r["n_tokens"] for r in out if r["drawn"]) / total == pytest.approx(s.budget, abs=0.06)
 
 
+def expected_margins(rows):
+    """Shares of the expected sample by dimension and value, and its share of all tokens."""
+    spent = sum(r["n_tokens"] * r["probability"] for r in rows)
+    got = defaultdict(float)
+    for r in rows:
+        for d in source_mix.DIMS:
+            got[d, r[d] or "(none)"] += r["n_tokens"] * r["probability"] / spent
+    return got, spent / sum(r["n_tokens"] for r in rows)
+
+
+def wanted_margins(rows, s):
+    """The tempered shares, of plain counts."""
+    own = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        for d in source_mix.DIMS:
+            own[d][r[d] or "(none)"] += r["n_tokens"]
+    want = {}
+    for d, values in own.items():
+        powers = {v: (n / sum(values.values())) ** s.tempering[d] for v, n in values.items()}
+        want |= {(d, v): p / sum(powers.values()) for v, p in powers.items()}
+    return want
+
+
+@pytest.mark.parametrize("budget", [0.7, 0.9])
+def test_the_expected_sample_meets_the_targets(spark, budget):
+    # a source with a third of all tokens, rare topics and languages: cells are drawn whole
+    r = random.Random(8)
+    rows = [
+        (k, prose(k, 40) + r.choice([""] * 9 + [" @x", " | y"]), r.choice(["en"] * 6 + ["de", "es", None]), "hot" if k % 3 == 0 else f"s{r.randrange(6)}", 1)
+        for k in range(900)
+    ] + [(1000, "", "en", "s1", 1), (1001, None, "zz", "nothing", 1)]
+    s = source_mix.MixSettings(budget=budget, bounded=True)
+    out = source_mix.mix_sources(spark.createDataFrame(rows, DOCS), s).collect()
+    got, spent = expected_margins(out)
+    want = wanted_margins(out, s)
+    assert len(out) == len(rows) and got == pytest.approx(want, abs=2e-6)
+    own = {d: wanted_margins(out, source_mix.MixSettings(tempering=dict.fromkeys(source_mix.DIMS, 1.0)))[d] for d in want}
+    assert spent == pytest.approx(min([budget] + [own[d] / want[d] for d in want if want[d]]), abs=1e-5)
+    assert all(0 <= r["probability"] <= 1 for r in out) and any(r["probability"] == 1 for r in out)
+    if budget == 0.9:
+        docs = spark.createDataFrame(rows, DOCS)
+        drawn = {r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, "").collect()}
+        assert drawn == {r["doc_id"] for r in out if r["drawn"]}
+
+
+def test_targets_out_of_reach_of_the_bounds_draw_less(spark):
+    # each value can give its part of two thirds of the tokens, but en in b and a together only that of a half
+    cells = [("en", "a")] * 9 + [("de", "a")] * 9 + [("en", "b")] * 3 + [("de", "b")] * 9
+    rows = [(k, "w " * 30, *cells[k % 30], 1) for k in range(300)]
+    s = source_mix.MixSettings(bounded=True, bounded_sweeps=12, targets={"source": {"a": 0.4, "b": 0.6}, "lang": {"en": 0.6, "de": 0.4}})
+    out = source_mix.mix_sources(spark.createDataFrame(rows, DOCS), s).collect()
+    got, spent = expected_margins(out)
+    assert [got[x] for x in (("source", "a"), ("lang", "en"))] == pytest.approx([0.4, 0.6], abs=1e-5) and 0.33 < spent <= 0.5 + 1e-6
+
+
 def test_mix_awkward(spark, monkeypatch):
     docs = awkward(spark)
     got = source_mix.mix_sources(docs).collect()
