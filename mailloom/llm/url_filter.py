@@ -1,7 +1,8 @@
 """URL filtering: domain rules first, then a template tree of paths per host.
 
 Paths of a host are generalised level by level. Segments that are numbers or identifiers become
-wildcards at once; where a node has many children of one shape, these become a wildcard too; the
+wildcards at once; where a node has many children of one shape, these become a wildcard too, but for
+those with enough labelled pages whose share of bad ones differs from that of the others; the
 remaining sibling branches that lead to like shapes and whose shares of bad pages do not differ
 statistically are merged. A template is rejected when its smoothed share of bad pages is too high.
 
@@ -48,7 +49,7 @@ class TemplateSettings:
     fan: int = 8
     #: sibling branches merge when their bad shares differ by less than so many standard errors
     z: float = 1.5
-    #: weight of the prior share in a template's purity, in pages
+    #: weight of the prior share in a template's purity, in pages; with as many labelled ones a child of a wide node is told apart
     prior_pages: float = 8.0
     #: a template is rejected from this smoothed share of bad pages
     reject: float = 0.5
@@ -88,11 +89,16 @@ def _level(state: DataFrame, s: TemplateSettings, prior: float) -> DataFrame:
     ahead = F.when(F.size("segs") > 1, _shape(F.col("segs")[1])).otherwise("")
     key = ["host", "prefix"]
     child = here.withColumn("ahead", ahead).groupBy(*key, "shape", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.min("ahead").alias("lo"), F.max("ahead").alias("hi"))
-    # wide nodes: how many children share a shape
-    wide = child.groupBy(*key, "shape").agg(F.count("*").alias("fan")).where(F.col("fan") >= s.fan)
-    named = here.join(wide, [*key, "shape"], "left").withColumn("name", F.when(F.col("fan").isNotNull(), F.col("shape")).otherwise(F.col("seg"))).drop("fan")
-    # branches, in order of their bad share; a new group starts where the step is significant
-    few = child.join(wide, [*key, "shape"], "left").withColumn("name", F.when(F.col("fan").isNotNull(), F.col("shape")).otherwise(F.col("seg")))
+    # wide nodes: how many children share a shape, and which of them differ from the others; the more children, the more may by chance
+    wide = child.groupBy(*key, "shape").agg(F.count("*").alias("fan"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")).where(F.col("fan") >= s.fan)
+    child = child.join(wide, [*key, "shape"], "left")
+    share = lambda bad, n: (bad + F.lit(s.prior_pages * prior)) / (n + F.lit(s.prior_pages))
+    others = F.col("all_labelled") - F.col("labelled")
+    own, rest = share(F.col("bad"), F.col("labelled")), share(F.greatest(F.col("all_bad") - F.col("bad"), F.lit(0.0)), others)
+    spread = own * (1 - own) / (F.col("labelled") + F.lit(s.prior_pages)) + rest * (1 - rest) / (others + F.lit(s.prior_pages))
+    differs = (F.col("labelled") >= s.prior_pages) & (F.abs(own - rest) > F.sqrt((F.lit(s.z**2) + 2 * F.log("fan")) * F.greatest(spread, F.lit(0.0))))
+    few = child.withColumn("name", F.when(F.col("fan").isNotNull() & ~differs, F.col("shape")).otherwise(F.col("seg")))
+    named = here.join(few.select(*key, "seg", "name"), [*key, "seg"])
     few = few.groupBy(*key, "name").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     size = F.col("labelled") + F.lit(s.prior_pages)
     few = few.withColumn("share", (F.col("bad") + F.lit(s.prior_pages * prior)) / size).withColumn("var", F.col("share") * (1 - F.col("share")) / size)

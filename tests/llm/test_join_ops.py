@@ -182,6 +182,18 @@ def test_url_templates(spark):
     assert got[1]["bad_share"] == pytest.approx(8 * prior / 128, abs=1e-8)
 
 
+def test_a_bad_section_among_many(spark):
+    sections = ["news", "sports", "about", "casino", "games", "travel", "food", "music", "film", "books"]
+    rows = [(100 * i + k, f"http://h.com/{x}/{k}") for i, x in enumerate(sections) for k in range(40)]
+    labels = [(p, int("casino" in u)) for p, u in rows if p % 100 < 30]
+    df = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), [])
+    got = {r["page_id"]: r for r in df.collect()}
+    assert len(got) == 400 and all((r["verdict"] == "block") == (r["path"].startswith("/casino/")) for r in got.values())
+    assert {r["template"] for r in got.values()} == {"/casino/{}", "/(about|+8)/{}"}
+    # by hand: 30 of 300 labelled pages are bad
+    assert got[300]["bad_share"] == pytest.approx(30.8 / 38, abs=1e-8) and got[0]["bad_share"] == pytest.approx(0.8 / 278, abs=1e-8)
+
+
 def test_raking_meets_the_targets(spark):
     r = random.Random(3)
     rows = [(k, prose(k, r.randrange(1, 60)) + r.choice(["", " @x", " | y"]), r.choice(["en", "en", "de", None]), r.choice(["a", "a", "a", "b", None]), 1) for k in range(900)]
