@@ -15,6 +15,7 @@ weight; equal ids are drawn alike; an empty table gives an empty result; extra c
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,13 +38,14 @@ class MixSettings:
     #: the first topic whose pattern a text matches
     topics: tuple[tuple[str, str], ...] = (("licence", "[Ll]icen[sc]e"), ("contact", "@"), ("listing", "\\|"))
     other_topic: str = "prose"
+    #: raking ends after a round of so many sweeps in which the margins came as near as `tolerance`, or no nearer
     sweeps: int = 8
     #: expected share of all tokens that is drawn
     budget: float = 0.7
     fills: int = 6
     #: the expected sample meets the targets, if need be below the budget
     bounded: bool = False
-    #: largest miss of a margin, as a share of the expected sample, at which bounded raking ends
+    #: largest miss of a margin, as a share of all weights or of the expected sample, at which raking ends
     tolerance: float = 1e-6
     #: bounded raking that has not met the targets after so many sweeps starts again with less
     bounded_sweeps: int = 40
@@ -77,16 +79,26 @@ def _targets(cells: DataFrame, s: MixSettings, total: int) -> DataFrame:
     return out
 
 
+def _miss(cells: DataFrame, value: Column, whole: float) -> float:
+    """The largest difference of a margin's share of the whole from its target."""
+    off = [F.abs(F.sum(value).over(Window.partitionBy(d)) / F.lit(whole) - F.col(f"t_{d}")) for d in DIMS]
+    return cells.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0
+
+
 def rake(cells: DataFrame, s: MixSettings) -> DataFrame:
     """cells: source, lang, topic, tokens. Adds weight: tokens scaled until the margins meet their targets."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     out = _targets(cells.withColumn("weight", F.col("tokens").cast("double")), s, total)
-    for sweep in range(s.sweeps):
-        for d in DIMS:
-            have = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"t_{d}") * F.lit(float(total)) / have).otherwise(0.0))
-        if sweep % 2 or sweep == s.sweeps - 1:
-            out = materialize(out)
+    miss, last = math.inf, math.inf
+    while miss > s.tolerance and (miss < 0.999 * last or last == math.inf):
+        last = miss
+        for sweep in range(s.sweeps):
+            for d in DIMS:
+                have = F.sum("weight").over(Window.partitionBy(d))
+                out = out.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"t_{d}") * F.lit(float(total)) / have).otherwise(0.0))
+            if sweep % 2 or sweep == s.sweeps - 1:
+                out = materialize(out)
+        miss = _miss(out, F.col("weight"), max(float(total), 1.0))
     return out.drop(*(f"t_{d}" for d in DIMS))
 
 
@@ -105,12 +117,6 @@ def inclusion(cells: DataFrame, s: MixSettings) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("per_token") * F.lit(factor)))
 
 
-def _miss(cells: DataFrame, value: Column, whole: float) -> float:
-    """The largest difference of a margin's share of the whole from its target."""
-    off = [F.abs(F.sum(value).over(Window.partitionBy(d)) / F.lit(whole) - F.col(f"t_{d}")) for d in DIMS]
-    return cells.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0
-
-
 def bounded_inclusion(cells: DataFrame, s: MixSettings) -> DataFrame:
     """Adds probability: at most one, with the targets as the margins of the expected tokens.
 

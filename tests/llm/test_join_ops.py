@@ -270,6 +270,21 @@ def test_targets_out_of_reach_of_the_bounds_draw_less(spark):
     assert [got[x] for x in (("source", "a"), ("lang", "en"))] == pytest.approx([0.4, 0.6], abs=1e-5) and 0.33 < spent <= 0.5 + 1e-6
 
 
+def test_raking_goes_on_until_the_targets_are_met(spark):
+    # nearly every text of a source is in one language, and one source has a third of the tokens
+    cells = [(f"s{a}", f"l{l}", t, (100_000 if a == 0 else 10_000) * (990 if l == a % 4 else 3) * n) for a in range(20) for l in range(4) for t, n in (("prose", 9), ("listing", 1))]
+    s = source_mix.MixSettings()
+    raked = source_mix.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), s).collect()
+    total = sum(c["tokens"] for c in raked)
+    for d in source_mix.DIMS:
+        own, have = defaultdict(int), defaultdict(float)
+        for c in raked:
+            own[c[d]] += c["tokens"]
+            have[c[d]] += c["weight"] / total
+        norm = sum((n / total) ** s.tempering[d] for n in own.values())
+        assert have == pytest.approx({v: (n / total) ** s.tempering[d] / norm for v, n in own.items()}, abs=2e-6), d
+
+
 def test_mix_awkward(spark, monkeypatch):
     docs = awkward(spark)
     got = source_mix.mix_sources(docs).collect()
