@@ -1,7 +1,10 @@
-"""Text functions: whitespace, evidence matching, hashes, flags and JSON, as column expressions."""
+"""Text functions: white space, case folding, evidence matching, hashes, as column expressions."""
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,41 +17,45 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"{SPACE}+\z|\A{SPACE}+", "")
 
 
-def normalized_evidence(c: Column) -> Column:
-    """White space collapsed and trimmed, lower case. casefolded() is the exact, slower form."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{SPACE}+", " ")))
+@functools.cache
+def case_folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Where full case folding goes on after lower case: characters to one character, and to more (ß to ss)."""
+    one, more = {}, {}
+    for code in range(sys.maxunicode + 1):
+        low = chr(code).lower()
+        if len(low) == 1 and low not in one and (full := low.casefold()) != low:
+            (one if len(full) == 1 else more)[low] = full
+    return one, more
 
 
-def evidence_in_text(quote: Column, text: Column) -> Column:
-    """Both already normalised."""
-    return F.coalesce((F.length(quote) >= LEAST_QUOTE) & text.contains(quote), F.lit(False))
+def _near(chars: list[str], gap: int = 256) -> str:
+    """A character class of the few ranges that hold these: long unions are slow to match."""
+    codes = sorted(map(ord, chars))
+    starts = [k for k, c in enumerate(codes) if not k or c - codes[k - 1] > gap]
+    ends = [*starts[1:], len(codes)]
+    return "[" + "".join(f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(starts, ends, strict=True)) + "]"
 
 
-def falsy_coalesce(*columns: Column) -> Column:
-    """The first that is neither null nor empty."""
-    return F.coalesce(*(F.when(c != "", c) for c in columns))
+def casefold(c: Column) -> Column:
+    """Full case folding. After lower case, ß and µ a search tells whether anything may be left to do."""
+    one, more = case_folds()
+    low = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    rare = [x for x in [*one, *more] if x not in "ßµ"]
+    # one literal, each part a character and what it becomes
+    rest = F.split(F.lit(" ".join(char + full for char, full in more.items())), " ")
+    full = F.aggregate(rest, F.translate(low, "".join(one), "".join(one.values())), lambda done, e: F.replace(done, F.substring(e, 1, 1), F.substring(e, 2, 9)))
+    return F.when(low.rlike(_near(rare)), full).otherwise(low)
 
 
-def parse_flag(c: Column) -> Column:
-    """1 for true, 1, yes, y and non-zero numbers; else 0."""
-    t = F.lower(strip(F.coalesce(c.cast("string"), F.lit(""))))
-    return F.when(t.isin("true", "1", "yes", "y"), 1).otherwise(0)
-
-
-def body_hash(c: Column) -> Column:
-    return F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
-
-
-def synthetic_id(*parts: Column) -> Column:
-    joined = F.concat_ws("\u001f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
-    return F.concat(F.lit("synthetic:"), F.sha2(joined.cast("binary"), 256))
+def normalized_evidence(c: Column) -> Column:
+    """White space collapsed and trimmed, case folded."""
+    return casefold(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{SPACE}+", " ")))
 
 
-def json_or_null(c: Column, path: str) -> Column:
-    """A value inside JSON text; null if the text is not JSON."""
-    return F.get_json_object(c, path)
+def evidence_in_text(quote: Column, text: Column) -> Column:
+    """Both already normalised."""
+    return F.coalesce((F.length(quote) >= LEAST_QUOTE) & text.contains(quote), F.lit(False))
 
 
-def sha256_of_json(*fields: Column) -> Column:
-    """Of the compact JSON object of the named fields, which must be given in order of name."""
-    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).cast("binary"), 256)
+def body_hash(c: Column) -> Column:
+    return F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
