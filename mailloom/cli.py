@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from collections.abc import Callable
@@ -29,15 +30,25 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--max-chars-per-batch", type=int, default=80_000)
     a.add_argument("--force", action="store_true")
     a.add_argument("--dry-run", action="store_true")
-    sub.add_parser("models")
+    a.add_argument("--retries", type=int, default=3)
+    for command in (a, sub.add_parser("models")):
+        command.add_argument("--provider", help="module:name of a callable Request -> Reply, or of a class of one; models() lists its models")
     return p
 
 
+def _provider(name: str):
+    module, _, attribute = name.partition(":")
+    found = getattr(importlib.import_module(module), attribute or "provider")
+    return found() if isinstance(found, type) else found
+
+
 def _run(args: argparse.Namespace, spark: SparkSession, provider) -> object:
     from mailloom.operators import reports
     from mailloom.plans import analyze, ingest
     from mailloom.sources.store import Store
 
+    if getattr(args, "provider", None):
+        provider = _provider(args.provider)
     if args.command == "models":
         if provider is None:
             raise ValueError("no provider is configured")
@@ -51,7 +62,7 @@ def _run(args: argparse.Namespace, spark: SparkSession, provider) -> object:
         return reports.store_stats(store.table("messages"), store.table("sources"), store.analyses()).first().asDict()
     if args.command == "report":
         return reports.quality_report(store.analyses(), store.table("runs")).first().asDict()
-    return analyze.analyze(store, args.owner_email, args.model, args.verifier_model, provider, args.limit, args.max_threads_per_batch, args.max_chars_per_batch, args.force, args.dry_run)
+    return analyze.analyze(store, args.owner_email, args.model, args.verifier_model, provider, args.limit, args.max_threads_per_batch, args.max_chars_per_batch, args.force, args.dry_run, args.retries)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, provider=None, write: Callable[[str], object] = print) -> int:

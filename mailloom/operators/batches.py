@@ -37,8 +37,11 @@ def _next(size: np.ndarray, most: int, room: int) -> np.ndarray:
     return np.minimum(np.maximum(fit, np.arange(len(size)) + 1), np.arange(len(size)) + most)
 
 
-def greedy_batches(documents: DataFrame, key: str, size: str, order: list[Column], most: int = 8, room: int = 80_000, block: int = BLOCK) -> DataFrame:
-    """key, size, batch (from 0) in the given total order; batch is null for documents over `room`."""
+def greedy_batches(documents: DataFrame, key: str, size: str, order: list[Column], most: int = 8, room: int = 80_000, block: int = BLOCK, rank: str | None = None) -> DataFrame:
+    """key, size, batch (from 0) in the given total order; batch is null for documents over `room`.
+
+    rank: a name for the column of the document's place in the order, if it is wanted.
+    """
     fits = F.col(size) <= room
     rows = ranked(documents.where(fits), order, "__i").select(key, size, "__i", F.floor(F.col("__i") / block).alias("__b"))
     # a block sees the rows just past its end, which may close its last batch
@@ -56,14 +59,18 @@ def greedy_batches(documents: DataFrame, key: str, size: str, order: list[Column
         n = min(most, own)
         return pd.DataFrame({"b": int(pdf["__b"].iat[0]), "entry": np.arange(n), "leave": end[:n], "count": count[:n]})
 
-    told = wide.groupBy("__b").applyInPandas(exits, "b long, entry long, leave long, count long").collect()  # `most` rows a block
+    # `most` rows a block; a single block is entered at its first row, so that nothing has to be told
+    alone = rows.select("__b").where("__b > 0").limit(1).count() == 0
+    told = [] if alone else wide.groupBy("__b").applyInPandas(exits, "b long, entry long, leave long, count long").collect()
     table = {(r["b"], r["entry"]): (r["leave"], r["count"]) for r in told}
-    entry, number, begun = 0, 0, {}
+    entry, number, begun = 0, 0, {0: (0, 0)}
     for b in range(max((r["b"] for r in told), default=-1) + 1):
         begun[b] = (entry, number)
         entry, count = table.get((b, entry), (entry, 0))
         number += count
 
+    place = {rank: "long"} if rank else {}
+
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__i")
         b = int(pdf["__b"].iat[0])
@@ -75,12 +82,13 @@ def greedy_batches(documents: DataFrame, key: str, size: str, order: list[Column
             starts[at] = 1
             at = int(nxt[at])
         out = pdf.assign(batch=n - 1 + np.cumsum(starts))
-        return out[own][[key, size, "batch"]]
+        return out[own].rename(columns={"__i": rank or "__i"})[[key, size, "batch", *place]]
 
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
     # rows before a block's entry belong to the block before: its last batch's number is n - 1
-    numbered = wide.groupBy("__b").applyInPandas(assign, f"{key} {kinds[key]}, {size} {kinds[size]}, batch long")
-    over = documents.where(~fits | F.col(size).isNull()).select(key, size, F.lit(None).cast("long").alias("batch"))
+    schema = {key: kinds[key], size: kinds[size], "batch": "long"} | place
+    numbered = wide.groupBy("__b").applyInPandas(assign, ", ".join(f"{n} {t}" for n, t in schema.items()))
+    over = documents.where(~fits | F.col(size).isNull()).select(key, size, *(F.lit(None).cast("long").alias(n) for n in ("batch", *place)))
     return numbered.unionByName(over)
 
 

@@ -22,6 +22,16 @@ def without_orphans(rows: DataFrame, references: DataFrame, on: str) -> DataFram
     return rows.join(references.select(on).distinct(), on, "left_semi")
 
 
+def held_by(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """The ids that some of the sources list; both have source_file_id."""
+    return links.join(sources.select("source_file_id"), "source_file_id", "left_semi").select("email_id").distinct()
+
+
+def not_current(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """Files (path, sha256) but for those imported with the same content."""
+    return files.join(sources.where("status = 'imported'").select("path", "sha256"), ["path", "sha256"], "left_anti")
+
+
 def merge_source(messages: DataFrame, links: DataFrame, incoming: DataFrame, source: int, is_json: bool, json_sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One source's records merged into the snapshot: the new messages and the new links.
 
@@ -32,8 +42,7 @@ def merge_source(messages: DataFrame, links: DataFrame, incoming: DataFrame, sou
     incoming = latest_by_key(incoming, ["email_id"], [F.col("source_index")])
     fresh = incoming.drop("source_index")
     if not is_json:
-        held = links.join(json_sources.select("source_file_id"), "source_file_id", "left_semi").select("email_id").distinct()
-        keep = messages.select("email_id").join(held, "email_id", "left_semi")
+        keep = messages.select("email_id").join(held_by(links, json_sources), "email_id", "left_semi")
         fresh = fresh.join(keep, "email_id", "left_anti")
     merged = messages.join(fresh.select("email_id"), "email_id", "left_anti").unionByName(fresh)
     own = incoming.select("email_id", F.lit(source).cast("long").alias("source_file_id"), "source_index")

@@ -52,21 +52,23 @@ def model_name(model: Any) -> str:
 
 
 def call(provider: Provider, request: Request, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> Reply:
-    """A finished reply. Retryable errors wait as told, else 1, 2, 4 ... seconds, 30 at most; a bad status always retries."""
-    for attempt in range(retries + 1):
+    """A finished reply, within `retries` calls in all. Retryable errors wait as told, else 1, 2, 4 ... seconds,
+    30 at most; a reply that ended badly is always asked for again."""
+    for left in range(max(retries, 1) - 1, -1, -1):
+        wait = 2.0 ** (max(retries, 1) - 1 - left)
         try:
             reply = provider(request)
-            if run_status(reply) in FINISHED:
+            if (ended := run_status(reply)) in FINISHED:
                 return reply
-            raise RuntimeError(f"run ended as {run_status(reply) or 'unknown'}")
+            raise RuntimeError(f"run ended as {ended or 'unknown'}")
         except ProviderError as e:
-            if not e.retryable or attempt == retries:
+            if not (e.retryable and left):
                 raise
-            sleep(min(LONGEST_WAIT, e.retry_after if e.retry_after is not None else 2.0**attempt))
+            wait = min(LONGEST_WAIT, wait if e.retry_after is None else e.retry_after)
         except RuntimeError:
-            if attempt == retries:
+            if not left:
                 raise
-            sleep(2.0**attempt)
+        sleep(wait)
     raise AssertionError
 
 

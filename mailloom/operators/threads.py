@@ -39,9 +39,9 @@ def rank_threads(messages: DataFrame, analyses: DataFrame | None = None, owner:
 
 
 def without_quotes(earlier: Column, body: Column) -> Column:
-    """struct(text, removed): body cut at verbatim earlier bodies near its end, longest first.
+    """struct(text, removed): body cut at verbatim earlier bodies near its end.
 
-    earlier: array of struct(n, ord, body), n the negative length, so that sorting gives the order.
+    earlier: array of structs that hold a body, the longest first.
     """
 
     def step(acc: Column, e: Column) -> Column:
@@ -49,21 +49,34 @@ def without_quotes(earlier: Column, body: Column) -> Column:
         at = F.instr(text, e["body"])
         rest = F.regexp_replace(F.substring(text, at + F.length(e["body"]), F.length(text)), rf"\A{SPACE}+|{SPACE}+\z", "")
         prefix = F.regexp_replace(F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0))), rf"{SPACE}+\z", "")
-        cut = (at - 1 >= PLACE) & (F.length(rest) <= TRAILING) & (F.length(prefix) >= PREFIX)
-        return F.struct(F.when(cut, prefix).otherwise(text).alias("text"), F.when(cut, acc["removed"] + F.length(text) - F.length(prefix)).otherwise(acc["removed"]).cast("long").alias("removed"))
+        cut = F.struct(prefix.alias("text"), (acc["removed"] + F.length(text) - F.length(prefix)).cast("long").alias("removed"))
+        # nested, so that a body that does not occur costs one search
+        fits = F.when(at - 1 >= PLACE, (F.length(rest) <= TRAILING) & (F.length(prefix) >= PREFIX))
+        return F.when(F.coalesce(fits, F.lit(False)), cut).otherwise(acc)
 
-    start = F.struct(body.alias("text"), F.lit(0).cast("long").alias("removed"))
-    return F.aggregate(F.array_sort(earlier), start, step)
+    return F.aggregate(earlier, F.struct(body.alias("text"), F.lit(0).cast("long").alias("removed")), step)
 
 
 def remove_quotes(messages: DataFrame, thread: str, order: list[str], body: str) -> DataFrame:
-    """Adds text and removed. Only bodies long enough to be looked for are gathered."""
-    before = Window.partitionBy(thread).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.row_number().over(Window.partitionBy(thread).orderBy(*order))
-    long = F.when(F.length(body) >= EARLIER, F.struct((-F.length(body)).alias("n"), F.col("__ord").alias("ord"), F.col(body).alias("body")))
-    out = messages.withColumn("__ord", place).withColumn("__earlier", F.collect_list(long).over(before))
-    out = out.withColumn("__cut", without_quotes(F.col("__earlier"), F.col(body)))
-    return out.withColumn("text", F.col("__cut.text")).withColumn("removed", F.col("__cut.removed")).drop("__ord", "__earlier", "__cut")
+    """Adds text and removed. A thread is gathered once; each message is folded over the long bodies before it.
+
+    A thread has to fit in one row, as its document does.
+    """
+    names = [c for c in messages.columns if c != thread]
+    place = F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)))
+    # ties in the order are kept apart by a number, since the rest of a message may have no order
+    tied = messages.withColumn("__tie", F.monotonically_increasing_id())
+    threads = tied.groupBy(thread).agg(F.collect_list(F.struct(place.alias("at"), F.col("__tie").alias("tie"), F.struct(*names).alias("m"))).alias("all"))
+    threads = threads.withColumn("all", F.array_sort("all", lambda x, y: _compare(F.struct(x["at"], x["tie"]), F.struct(y["at"], y["tie"]))))
+    long = F.filter(F.transform("all", lambda x, i: F.struct((-F.length(x["m"][body])).alias("n"), i.alias("ord"), x["m"][body].alias("body"))), lambda e: e["n"] <= -EARLIER)
+    threads = threads.withColumn("long", F.array_sort(long))
+    each = F.transform("all", lambda x, i: F.struct(x["m"].alias("m"), without_quotes(F.filter("long", lambda e: e["ord"] < i), x["m"][body]).alias("cut")))
+    out = threads.select(thread, F.explode(each).alias("x")).select(thread, "x.m.*", "x.cut.text", "x.cut.removed")
+    return out.select(*messages.columns, "text", "removed")
+
+
+def _compare(x: Column, y: Column) -> Column:
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
 def participants(messages: DataFrame, thread: str, order: str, people: str) -> DataFrame:
@@ -88,28 +101,32 @@ def fingerprints(messages: DataFrame) -> DataFrame:
     return m.groupBy("thread_id").agg(F.sha2(F.concat(F.lit("["), joined, F.lit("]")).cast("binary"), 256).alias("fingerprint"))
 
 
-def thread_documents(messages: DataFrame) -> DataFrame:
-    """One nested document per thread from the messages table; clean bodies are freed of quoted replies."""
-    order = [F.coalesce("sent_at_utc", "received_at_utc", F.lit("")), F.col("email_id")]
-    m = messages.withColumn("__t", order[0])
+#: fixed values: the fields of a document and of its messages, in order
+DOCUMENT = ("thread_id", "source_fingerprint", "owner_email", "subject", "message_count", "has_unavailable_attachments", "participants", "exact_duplicate_chars_removed", "messages")
+MESSAGE = ("message_id", "internet_message_id", "sent_at_utc", "received_at_utc", "sender", "to", "cc", "subject", "has_attachments", "body")
+PEOPLE = "array<struct<name:string,address:string>>"
+
+
+def thread_documents(messages: DataFrame, owner: str = "") -> DataFrame:
+    """One nested document per thread from the messages table, with the columns DOCUMENT.
+
+    Clean bodies are freed of quoted replies; the subject is the last that is not empty.
+    """
+    person = lambda name, address: F.struct(F.coalesce(name, F.lit("")).alias("name"), F.coalesce(address, F.lit("")).alias("address"))
+    listed = lambda c: F.coalesce(F.from_json(c, PEOPLE), F.array().cast(PEOPLE))
+    m = messages.withColumn("__t", F.coalesce("sent_at_utc", "received_at_utc", F.lit("")))
     m = remove_quotes(m, "conversation_id", ["__t", "email_id"], "clean_body")
-    at = F.struct(F.col("__t").alias("t"), F.col("email_id").alias("id"))
-    people = F.concat(F.array(F.struct(F.coalesce("sender_name", F.lit("")).alias("name"), F.coalesce("sender_address", F.lit("")).alias("address"))), "to_people", "cc_people")
-    kind = "array<struct<name:string,address:string>>"
-    m = m.withColumn("to_people", F.coalesce(F.from_json("to_recipients_json", kind), F.array().cast(kind))).withColumn("cc_people", F.coalesce(F.from_json("cc_recipients_json", kind), F.array().cast(kind)))
-    m = m.withColumn("people", people).withColumn("at", at)
-    body = F.struct(
-        F.col("at"), F.col("email_id").alias("message_id"), "sent_at_utc", "received_at_utc",
-        F.struct(F.coalesce("sender_name", F.lit("")).alias("name"), F.coalesce("sender_address", F.lit("")).alias("address")).alias("sender"),
-        F.col("to_people").alias("to"), F.col("cc_people").alias("cc"), "subject", F.col("text").alias("body"), F.col("removed").alias("quoted_characters_removed"), F.col("has_attachments").cast("boolean").alias("has_attachments"),
-    )
+    m = m.withColumns({
+        "at": F.struct(F.col("__t").alias("t"), F.col("email_id").alias("id")), "message_id": F.col("email_id"), "sender": person(F.col("sender_name"), F.col("sender_address")),
+        "to": listed("to_recipients_json"), "cc": listed("cc_recipients_json"), "has_attachments": F.coalesce(F.col("has_attachments").cast("boolean"), F.lit(False)), "body": F.col("text"),
+    }).withColumn("people", F.concat(F.array("sender"), "to", "cc"))
     docs = m.groupBy(F.col("conversation_id").alias("thread_id")).agg(
-        F.max_by("subject", F.when(F.col("subject") != "", F.col("at"))).alias("subject"),
-        F.bool_or(F.col("has_attachments") == 1).alias("has_attachments"),
+        F.coalesce(F.max_by("subject", F.when(F.col("subject") != "", F.col("at"))), F.lit("")).alias("subject"),
         F.count("*").alias("message_count"),
-        F.sum("removed").alias("quoted_characters_removed"),
-        F.transform(F.array_sort(F.collect_list(body)), lambda x: x.dropFields("at")).alias("messages"),
+        F.bool_or("has_attachments").alias("has_unavailable_attachments"),
+        F.sum("removed").alias("exact_duplicate_chars_removed"),
+        F.transform(F.array_sort(F.collect_list(F.struct("at", *MESSAGE))), lambda x: x.dropFields("at")).alias("messages"),
     )
-    docs = docs.withColumn("subject", F.coalesce("subject", F.lit("")))
-    docs = docs.join(participants(m, "conversation_id", "at", "people"), "thread_id", "left")
-    return docs.join(fingerprints(messages), "thread_id")
+    docs = docs.join(participants(m, "conversation_id", "at", "people"), "thread_id", "left").join(fingerprints(messages), "thread_id")
+    docs = docs.withColumn("participants", F.coalesce("participants", F.array().cast(PEOPLE))).withColumnRenamed("fingerprint", "source_fingerprint")
+    return docs.withColumn("owner_email", F.lit(owner.strip())).select(*DOCUMENT)

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.operators.merge import latest_by_key, merge_source, with_precedence
+from mailloom.operators.merge import held_by, latest_by_key, merge_source, not_current, with_precedence
 from mailloom.sources.readers import discover, parse_files, read_files
 from mailloom.sources.records import MESSAGE_SCHEMA, kind_of
 from mailloom.sources.store import SCHEMAS, Store, now
@@ -22,7 +22,7 @@ _COLUMNS = [c.strip().split(" ")[0] for c in MESSAGE_SCHEMA.split(",")]
 
 def _merged_at_once(messages: DataFrame, links: DataFrame, records: DataFrame, json_sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All sources in one pass: exact when none of them was imported before, so nothing can go stale."""
-    held = links.join(json_sources, "source_file_id", "left_semi").select("email_id").distinct().withColumn("is_json", F.lit(True))
+    held = held_by(links, json_sources).withColumn("is_json", F.lit(True))
     old = messages.join(held, "email_id", "left").withColumn("is_json", F.coalesce("is_json", F.lit(False))).withColumn("source_file_id", F.lit(-1).cast("long")).withColumn("source_index", F.lit(-1).cast("long"))
     every = old.unionByName(records.select(*old.columns))
     merged = with_precedence(every, ["email_id"], F.col("is_json"), [F.col("source_file_id"), F.col("source_index")])
@@ -41,7 +41,7 @@ def ingest(store: Store, paths: list[str], force: bool = False, strict_csv: bool
     known = store.table("sources")
     digest = files.select("path", "size_bytes", "modified_at", "sha256")
     if not force:
-        digest = digest.join(known.where("status = 'imported'").select("path", "sha256"), ["path", "sha256"], "left_anti")
+        digest = not_current(digest, known)
     pending = digest.orderBy("path").collect()  # file names and hashes, no content
     summary: dict[str, Any] = {"files_total": len(found), "files_imported": 0, "files_skipped": len(found) - len(pending), "files_failed": 0, "messages_imported": 0, "errors": []}
     if not pending:
@@ -49,8 +49,14 @@ def ingest(store: Store, paths: list[str], force: bool = False, strict_csv: bool
         return summary
     ids = {r["path"]: r["source_file_id"] for r in known.select("path", "source_file_id").collect()}
     seen = set(ids)
+    fresh_ids = itertools.count(max(ids.values(), default=0) + 1)
     for r in pending:
-        ids.setdefault(r["path"], max(ids.values(), default=0) + 1)
+        if r["path"] not in seen:
+            ids[r["path"]] = next(fresh_ids)
+    # until the import is committed these sources are not current, so that one cut short is taken again
+    begun = [(ids[r["path"]], r["path"], r["sha256"], kind_of(r["path"]), r["size_bytes"], r["modified_at"], "importing", 0, None, None) for r in pending]
+    begun = spark.createDataFrame(begun, SCHEMAS["sources"])
+    store.commit(sources=known.join(begun.select("path"), "path", "left_anti").unionByName(begun))
     numbered = spark.createDataFrame([(r["path"], ids[r["path"]], kind_of(r["path"]) == "json", r["sha256"]) for r in pending], "path string, source_file_id long, is_json boolean, expected string")
     if len(pending) <= BROADCAST_FILES:
         numbered = F.broadcast(numbered)

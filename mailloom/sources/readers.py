@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -73,6 +74,24 @@ def read_files(spark: SparkSession, paths: list[str], aside: str | None = None)
     return out
 
 
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _ARROW[t]) for n, t in (c.strip().split(" ") for c in ddl.split(","))])
+
+
+def normalize_records(records: DataFrame) -> DataFrame:
+    """Normalised messages of records given as JSON text in the column `record`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _schema(MESSAGE_SCHEMA)
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([normalize(json.loads(r)) for r in batch.column(0).to_pylist()], schema)
+
+    return records.select("record").mapInArrow(run, MESSAGE_SCHEMA)
+
+
 PARSED = f"path string, source_index long, error string, {MESSAGE_SCHEMA}"
 
 
@@ -85,8 +104,7 @@ def parse_files(files: DataFrame, strict_csv: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(131_072 if strict_csv else 1 << 30)
-        types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-        schema = pa.schema([(n, types[t]) for n, t in (c.strip().split(" ") for c in PARSED.split(","))])
+        schema = _schema(PARSED)
         for batch in batches:
             for path, content, expected in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 try:
