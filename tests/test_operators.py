@@ -71,11 +71,13 @@ def test_quotes_at_each_threshold(spark):
 
 
 def test_evidence(spark):
-    rows = [(" A  b\x1ccd  Ef\n", "a b cd ef"), ("short", "short"), (None, ""), ("Straße weit", "straße weit")]
+    rows = [(" A  b\x1ccd  Ef\n", "a b cd ef"), ("short", "short"), (None, ""), ("Straße weit", "strasse weit"), ("ΣΑΣ ſtill ŉ İstanbul ﬁnden", "σασ still ʼn i̇stanbul finden")]
     df = spark.createDataFrame([(a, b) for a, b in rows], "a string, b string")
-    got = df.select(text.normalized_evidence(F.col("a")).alias("n"), text.evidence_in_text(F.col("b"), text.normalized_evidence(F.col("a"))).alias("hit"), html.casefolded(F.col("a")).alias("f")).collect()
+    got = df.select(text.normalized_evidence(F.col("a")).alias("n"), text.evidence_in_text(F.col("b"), text.normalized_evidence(F.col("a"))).alias("hit")).collect()
     assert [r["n"] for r in got] == [b for _, b in rows]
-    assert [r["hit"] for r in got] == [True, False, False, True] and got[3]["f"] == "strasse weit"
+    assert [r["hit"] for r in got] == [True, False, False, True, True]
+    odd = "".join(chr(c) for c in range(0x24F) if chr(c).isprintable())
+    assert spark.range(1).select(text.casefold(F.lit(odd)).alias("x")).first()["x"] == odd.casefold()
 
 
 @pytest.mark.parametrize("most", [2, 100])
@@ -86,7 +88,7 @@ def test_quotes_found_either_way(spark, monkeypatch, most):
     quotes = ["quick brown", "quick  BROWN", "e quick brown fox jum", "lazy dog", "two three four five si", "xxxxxxxxxx", "no such quote here at all", "short", "", None, "fox jumps over the lazy", "quick brown"]
     d = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
     q = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
-    plain = lambda t: " ".join((t or "").split()).lower()
+    plain = lambda t: " ".join((t or "").split()).casefold()
     want = sorted((i, k) for i, b in enumerate(bodies) for k, x in enumerate(quotes) if len(plain(x)) >= 8 and plain(x) in plain(b))
     assert sorted(tuple(r) for r in queries.evidence_hits(q, d).select("doc_id", "item_id").collect()) == want and want
 
@@ -128,14 +130,35 @@ def test_unwrap_and_normalise():
     assert n["sender_address"] == "a@b" and n["to_recipients_json"] == "[]" and n["categories_json"] == "[]" and n["has_attachments"] == 0 and n["body_type"] == "text"
     assert n["email_id"].startswith("synthetic:") and n["conversation_id"] == n["email_id"]
     assert records.normalize({"from": {"emailAddress": {}}, "sender_name": "N"})["sender_name"] is None
-    assert [records.as_flag(x) for x in (True, 2, 0, " YES ", "no", None)] == [1, 1, 0, 1, 0, 0]
+    assert [records.flag(x) for x in (True, 2, 0, " YES ", "no", None, "2")] == [1, 1, 0, 1, 0, 0, 0]
     assert list(records.parse_file("csv", "﻿a,b\n1,2,3\n\n4\n".encode())) == [{"a": "1", "b": "2", None: ["3"]}, {"a": "4", "b": None}]
 
 
-def test_synthetic_id_matches_the_importer(spark):
-    n = records.normalize({"internetMessageId": "i", "conversationId": "c", "receivedDateTime": None, "subject": "s", "body": "b"})
-    got = spark.range(1).select(text.synthetic_id(F.lit("i"), F.lit("c"), F.lit(None).cast("string"), F.lit("s"), F.lit("b")).alias("x")).first()["x"]
-    assert got == n["email_id"]
+def test_synthetic_id():
+    import hashlib
+
+    n = records.normalize({"internetMessageId": "i", "conversation_id": "c", "receivedDateTime": None, "subject": "s", "body": "b"})
+    assert n["email_id"] == "synthetic:" + hashlib.sha256("\x1f".join(["i", "c", "", "s", "b"]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ({"emailAddress": "x", "name": " N ", "address": "a@b"}, ("N", "a@b")),  # only an object is unwrapped
+        ({"emailAddress": {}, "name": "N"}, ("", "")),
+        ({"emailAddress": {"name": "N", "address": 5}}, ("N", "5")),
+        (" a@b ", ("", "a@b")),
+        (7, ("", "")),
+        (None, ("", "")),
+    ],
+)
+def test_people(given, want):
+    assert tuple(records.person(given).values()) == want
+
+
+def test_lists_in_records():
+    assert records.people('{"address": "a"}') == '[{"name":"","address":"a"}]' and records.people('"a@b"') == "[]" and records.people(5) == "[]"
+    assert records.labels('"Red"') == '["Red"]' and records.labels("Red") == "[]" and records.labels({"a": 1}) == "[]" and records.labels([1, " ", "x"]) == '["1","x"]'
 
 
 def test_answers_are_recovered():
@@ -158,6 +181,16 @@ def test_retries():
 
     assert provider.call(flaky, provider.Request("", "m", "k"), sleep=waits.append).result == "{}" and waits == [30.0, 2.0]
 
+    calls = []
+
+    def never(request):
+        calls.append(request)
+        raise provider.ProviderError("busy", True)
+
+    with pytest.raises(provider.ProviderError):
+        provider.call(never, provider.Request("", "m", "k"), retries=3, sleep=waits.append)
+    assert len(calls) == 3 and waits[2:] == [1.0, 2.0]
+
     def refused(request):
         raise provider.ProviderError("no")
 
@@ -167,25 +200,50 @@ def test_retries():
 
 GOOD = {"claim_id": "c", "type": "fact", "text": "t", "message_ids": ["m"], "evidence_quotes": [{"message_id": "m", "quote": "quoted words"}]}
 RULES = {
-    "thread_id mismatch": {"thread_id": "x"}, "category": {"category": "x"}, "importance_score": {"importance_score": "7.5"}, "summary": {"summary": " "}, "claims must": {"claims": None},
-    "not an object": {"claims": [None]}, "no id": {"claims": [GOOD | {"claim_id": ""}]}, "repeats": {"claims": [GOOD | {"type": "x"}, GOOD]}, "unknown type": {"claims": [GOOD | {"type": "x"}]}, "no text": {"claims": [GOOD | {"text": ""}]},
-    "no evidence": {"claims": [GOOD | {"evidence_quotes": []}]}, "evidence is not": {"claims": [GOOD | {"evidence_quotes": [{"message_id": "m", "quote": "other words"}]}]}, "unknown message": {"claims": [GOOD | {"evidence_quotes": [{"message_id": "z", "quote": "quoted words"}]}]},
-    "outside": {"claims": [GOOD | {"message_ids": ["n"]}]}, "audit must": {"audit": None}, "factual_confidence": {"audit": {"summary_grounded": True, "factual_confidence": "1.5"}},
+    "thread_id mismatch": {"thread_id": "x"}, "category": {"category": "x"}, "importance_score": {"importance_score": 7.5}, "summary": {"summary": " \t\n\u2003"}, "claims must": {"claims": None},
+    "not an object": {"claims": [None]}, "no id": {"claims": [GOOD | {"claim_id": ""}]}, "repeats": {"claims": [GOOD | {"type": "x"}, GOOD]}, "unknown type": {"claims": [GOOD | {"type": "x"}]}, "no text": {"claims": [GOOD | {"text": "\u2003"}]},
+    "no evidence": {"claims": [GOOD | {"evidence_quotes": []}]}, "evidence 0 is not": {"claims": [GOOD | {"evidence_quotes": [{"message_id": "m", "quote": "other words"}]}]}, "unknown message": {"claims": [GOOD | {"evidence_quotes": [{"message_id": "z", "quote": "quoted words"}]}]},
+    "outside": {"claims": [GOOD | {"message_ids": ["n"]}]}, "audit must": {"audit": None}, "factual_confidence": {"audit": {"summary_grounded": True, "factual_confidence": 1.5}},
+    # values of the wrong JSON type, which a cast would let pass
+    "importance_score must": {"importance_score": "70"}, "summary must": {"summary": 5}, "must be a number": {"audit": {"summary_grounded": True, "factual_confidence": "0.9"}}, "an integer": {"importance_score": True}, "evidence 1 is not an object": {"claims": [GOOD | {"evidence_quotes": [*GOOD["evidence_quotes"], 3]}]},
 }
 
 
+def _validated(spark, answers, bodies=("m", "n")):
+    import json
+
+    df = spark.createDataFrame([(n, json.dumps(a)) for n, a in answers.items()], "thread_id string, answer string")
+    messages = spark.createDataFrame([(n, m, "Some QUOTED  words") for n in answers for m in bodies], "thread_id string, message_id string, body string")
+    return {r["thread_id"]: r for r in validate.validate_threads(df, messages).collect()}
+
+
+BASE = {"category": "task", "importance_score": 5, "summary": "s", "claims": [GOOD], "audit": {"summary_grounded": True, "factual_confidence": 0.5, "notes": ["kept"]}, "importance_reasons": ["kept too"]}
+
+
 def test_each_validation_rule(spark):
     import json
 
-    base = {"thread_id": "t", "category": "task", "importance_score": 5, "summary": "s", "claims": [GOOD], "audit": {"summary_grounded": True, "factual_confidence": 0.5}}
-    given_rows = [("ok", json.dumps(base | {"thread_id": "ok"}))] + [(name, json.dumps(base | {"thread_id": name} | change)) for name, change in RULES.items()]
-    df = spark.createDataFrame(given_rows, "thread_id string, j string").select("thread_id", F.from_json("j", validate.RESULT).alias("result"))
-    messages = spark.createDataFrame([(n, m, "Some QUOTED  words") for n, _ in given_rows for m in ("m", "n")], "thread_id string, message_id string, body string")
-    out = {r["thread_id"]: r for r in validate.validate_threads(df, messages).collect()}
+    out = _validated(spark, {"ok": BASE | {"thread_id": "ok"}} | {name: BASE | {"thread_id": name} | change for name, change in RULES.items()})
     assert out["ok"]["errors"] == [] and (out["ok"]["checked"], out["ok"]["valid"]) == (1, 1)
+    whole = json.loads(out["ok"]["whole"])
+    assert whole["audit"] == BASE["audit"] and whole["importance_reasons"] == ["kept too"] and whole["claims"] == [GOOD] and whole["validation"] == {"evidence_claims_checked": 1, "evidence_claims_valid": 1, "errors": []}
+    assert set(whole["experience"]) == set(validate.EXPERIENCE_FIELDS.values())
     for name in RULES:
         assert any(name in e for e in out[name]["errors"]), (name, out[name]["errors"])
-    assert out["thread_id mismatch"]["errors"] == ["thread_id mismatch: thread_id mismatch"]
+    assert out["thread_id mismatch"]["errors"] == ["thread_id mismatch: thread_id mismatch"] and out["thread_id mismatch"]["whole"] is None
+
+
+def test_a_malformed_claim_spoils_only_itself(spark):
+    wrong = [{"message_id": "m", "quote": "words nobody wrote"}] * 2
+    out = _validated(spark, {"t": BASE | {"thread_id": "t", "claims": [7, GOOD, GOOD | {"claim_id": "d", "evidence_quotes": wrong}, GOOD | {"claim_id": 5, "message_ids": "m"}]}})["t"]
+    assert (out["checked"], out["valid"]) == (4, 1)
+    assert out["errors"] == ["t: claim 0 is not an object", "t: claim 2 evidence 0 is not in the message", "t: claim 2 evidence 1 is not in the message", "t: claim 3 has evidence outside its message_ids"]
+
+
+def test_answers_that_are_no_answers(spark):
+    df = spark.createDataFrame([("a", None), ("b", "no json"), ("c", "[1]")], "thread_id string, answer string")
+    out = validate.validate_threads(df, spark.createDataFrame([], "thread_id string, message_id string, body string")).collect()
+    assert {(r["same_thread"], r["whole"], r["valid"]) for r in out} == {(False, None, 0)}
 
 
 def test_upserts(spark):
