@@ -1,12 +1,13 @@
 """Language ID, quality rules and model, HTML extraction."""
 
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 
 from mailloom.llm import language_id, quality_model, quality_rules
-from mailloom.llm.html_extract import extract_main_text, main_text
+from mailloom.llm.html_extract import Page, PathSettings, extract_main_text, main_text
 
 from .helpers import DOCS, awkward, awkward_rows, plain_quality, prose
 
@@ -133,6 +134,10 @@ PAGES = [
     (None, ""),
     ("", ""),
     ("<" * 5000, None),
+    # only what fails the bar goes: names alone do not remove text from an article
+    ("<article><p>One real paragraph of text, with marks.</p><p class='legal'>Legal words.</p><p id='search-results'>Found words.</p><ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li></ul></article>", "One real paragraph of text, with marks.\nLegal words.\nFound words.\nSource one\nSource two"),
+    ("<article>" + "<div>" * 600 + "far down" + "</div>" * 600 + "<p>The real last paragraph.</p></article>", "far down\nThe real last paragraph."),
+    ("<article><h1>T</h1><table><tr><td>5</td><td>3</td></tr></table><p>It ends, here.</p><div class='comments'><p>A reader's long comment, with marks, and more.</p></div></article>", "T\n5\n3\nIt ends, here."),
     ("<div>" * 3000 + "deep text, here" + "<b>" * 3000, "deep text, here"),
 ]
 
@@ -146,6 +151,80 @@ def test_main_text(spark):
         assert got[k]["n_chars"] == len(got[k]["text"])
 
 
+class _Plain(HTMLParser):
+    """The path table of a well-formed page, text by text."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.parts = [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.open.append(tag)
+        self.parts.append(None)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+        self.parts.append(None)
+
+    def handle_data(self, data):
+        self.parts.append(("/" + "/".join(self.open), data))
+
+    def table(self):
+        found, run = {}, []
+        for part in [*self.parts, None]:
+            if part:
+                run.append(part)
+                continue
+            text = " ".join("".join(d for _, d in run).split())
+            if text:
+                row = found.setdefault(run[0][0], [0, 0, 0, 0])
+                for k, n in enumerate((1, len(text), sum(c in ".,;:!?" for c in text), 0)):
+                    row[k] += n
+            run = []
+        return found
+
+
+def test_path_table_against_a_plain_one():
+    r = random.Random(4)
+
+    def node(depth):
+        if depth == 0 or r.random() < 0.3:
+            return prose(r.random(), r.randint(0, 9)) + r.choice([".", ", x!", "", " &amp; "])
+        tag = r.choice(["div", "section", "article", "main"])
+        return f"<{tag}>" + "".join(node(depth - 1) for _ in range(r.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(200):
+        page = node(5)
+        plain, got = _Plain(), Page(page, PathSettings())
+        plain.feed(page)
+        plain.close()
+        assert {got.name(p): row for p, row in got.table().items()} == plain.table(), page
+
+
+def test_the_ratio_decides():
+    """Names aside, long punctuated paths are content and short ones are not; without the bar all would be."""
+    page = "<body><div><div><span>Home</span></div><div>About</div><div>Jobs</div></div><section>" + "".join(f"<p>{prose(k, 40)}, and so on; it ends.</p>" for k in range(5)) + "</section><div>More</div></body>"
+    want = "\n".join(f"{prose(k, 40)}, and so on; it ends." for k in range(5))
+    assert main_text(page) == want
+    assert main_text(page, PathSettings(bar=float("-inf"))).split("\n")[:3] == ["Home", "About", "Jobs"]
+    for page, want in PAGES[:2]:
+        assert main_text(page) == want != main_text(page, PathSettings(bar=float("-inf")))
+    # a part's name gives way where nothing else is content
+    assert main_text("<div class='notices'><p>" + prose(1, 200) + ", at length.</p></div>").endswith("at length.")
+
+
+@pytest.mark.parametrize("piece", ["<!", "<!--", "<a title=\"", "<", "<div>", "<p><table><td><div>", "<tr><td>", "<b></i>", "<script>"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    spent = []
+    for size in (200_000, 800_000):
+        began = time.process_time()
+        main_text(piece * (size // len(piece)))
+        spent.append(time.process_time() - began)
+    assert spent[1] < 8 * spent[0] + 1
+
+
 def test_main_text_keeps_whole_long_articles():
     paragraphs = [prose(k, 50).capitalize() + ", and so on." for k in range(500)]
     assert main_text("<nav><a href=x>m</a></nav><main>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</main>") == "\n".join(paragraphs)
