@@ -6,14 +6,15 @@ lines, windows and their 64-bit fingerprints are computed by whole-array operati
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailloom.sources.scratch import fresh_path
+
 #: bytes of text handled at once by one Python worker; a longer text is handled alone
 SLICE_BYTES = 2 << 20
 
@@ -23,13 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path below the cluster's shared checkpoint folder (a temporary one only if none is set)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="mailloom-")
-        sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/mailloom-{uuid.uuid4().hex}"
+    """A fresh path below the cluster's shared checkpoint folder; without one, a cluster is refused."""
+    return fresh_path(spark)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -129,6 +125,70 @@ class Prefix:
         return x
 
 
+#: spans of more bytes are hashed one by one
+_LONG = 64
+_HEAD = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans, not linear in their bytes: eight of them are mixed at a time, long spans by BLAKE2."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) + _BASE)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    live, k = np.flatnonzero(size <= _LONG), 0
+    while len(live):
+        left = size[live] - k
+        out[live] = mix((out[live] ^ (eight[start[live] + k] & _HEAD[np.minimum(left, 8)])) * _BASE + np.uint64(k + 1))
+        live, k = live[left > 8], k + 8
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(buf: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, room: int = 1 << 20) -> np.ndarray:
+    """Whether the spans a[k]:a_end[k] and b[k]:b_end[k] hold the same bytes, some of them at a time."""
+    size = a_end - a
+    same = size == b_end - b
+    for k in np.flatnonzero(same & (size > room)):
+        same[k] = np.array_equal(buf[a[k] : a_end[k]], buf[b[k] : b_end[k]])
+    todo = np.flatnonzero(same & (size <= room) & (size > 0))
+    total = np.cumsum(size[todo])
+    at = 0
+    while at < len(todo):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + room, "right")))
+        part = todo[at:to]
+        n = size[part]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = buf[np.repeat(a[part], n) + step] != buf[np.repeat(b[part], n) + step]
+        same[part[np.unique(np.repeat(np.arange(len(part)), n)[differ])]] = False
+        at = to
+    return same
+
+
+def classes_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
+    """A number for each span, the same for equal bytes only. Hashes propose, every proposal is compared."""
+    key = span_hashes(buf, start, end) if key is None else key
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    here, before = order[~new], order[np.flatnonzero(~new) - 1]
+    same = same_spans(buf, start[here], end[here], start[before], end[before])
+    if not same.all():  # different bytes of one hash: told apart by the bytes
+        odd = np.isin(key, key[here[~same]])
+        known: dict[bytes, int] = {}
+        key = key.copy()
+        for i in np.flatnonzero(odd):
+            key[i] = known.setdefault(buf[start[i] : end[i]].tobytes(), len(known))
+        number = np.empty(len(key), np.int64)
+        number[~odd] = np.unique(key[~odd], return_inverse=True)[1]
+        number[odd] = key[odd].astype(np.int64) + (int(number[~odd].max()) + 1 if (~odd).any() else 0)
+        return number
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -15,6 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,7 +53,14 @@ class LanguageModel:
     bits: int
 
 
-_KIND = np.array([chr(c).isalpha() for c in range(0x3000)])
+#: code points from here on hold no letters
+_NO_LETTERS = 0x40000
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter, by Unicode's categories; the last entry stands for all beyond."""
+    return np.array([*(chr(c).isalpha() for c in range(_NO_LETTERS)), False])
 
 
 def _features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +69,7 @@ def _features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarra
     size = np.fromiter(map(len, low), np.int64, len(low))
     cp = np.frombuffer(" ".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     off = np.concatenate([[0], np.cumsum(size + 1)])
-    letter = np.where(cp < 0x3000, _KIND[np.minimum(cp, 0x2FFF)], True)
+    letter = _letters()[np.minimum(cp, _NO_LETTERS)]
     lead = np.concatenate([[0], np.cumsum(letter)])
     ends = np.minimum(off[1:], len(cp))
     letters = lead[ends] - lead[off[:-1]] > 0
