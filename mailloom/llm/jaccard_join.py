@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, Words, materialize, mix, release, shingles, small_batches, text_slices
+from .common import Words, materialize, mix, release, shingles, small_batches, span_hashes, text_slices
 from .components import connected_components
 
 #: so many ids are sent to every executor at most (16 MB); more are joined by a shuffle
@@ -81,7 +81,7 @@ def least_agreement(s: JoinSettings) -> list[tuple[int, int]]:
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle fingerprints of the texts of a slice, and the bounds of each text's."""
     w = Words(buf, off)
-    word = Prefix(buf).of(w.start, w.end)
+    word = span_hashes(buf, w.start, w.end)
     win, at = shingles(word, w.owner, k)
     n = np.diff(w.owner)
     doc = w.doc()[at]
