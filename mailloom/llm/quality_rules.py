@@ -1,5 +1,7 @@
 """Line-first cleaning: judge every line, remove those that fail, reject texts that lose too much.
 
+Lines and words count as equal only if their bytes are: hashes propose, a comparison decides.
+
 Cases: a null or empty text has no words, fails the base test and cleans to ''; ties and repeated
 rows are judged independently; an empty table gives an empty result; extra columns are ignored.
 """
@@ -14,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Prefix, Words, mix, shingles, small_batches, sums_at, text_slices
+from .common import Words, classes_of, shingles, small_batches, sums_at, text_slices
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -71,21 +73,32 @@ def _line_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, np.concatenate([[0], np.cumsum(lines)])
 
 
-def repeated(key: np.ndarray, first: bool) -> np.ndarray:
-    """Which elements occur twice or more; without the first of each if not `first`."""
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    out = np.zeros(len(key), bool)
+def repeated(*keys: np.ndarray, first: bool) -> np.ndarray:
+    """Which elements, equal in all keys, occur twice or more; without the first of each if not `first`."""
+    order = np.lexsort(keys)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    out = np.zeros(len(order), bool)
     out[order[1:]] = same
     if first:
         out[order[:-1]] |= same
     return out
 
 
+def repeated_windows(word: np.ndarray, owner: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+    """First words of the windows of `size` words that occur twice or more in their text."""
+    win, at = shingles(word.astype(np.uint64), owner, size)
+    maybe = np.flatnonzero(repeated(win, doc[at], first=True))
+    # the few windows of equal hashes, word by word
+    columns = [word[at[maybe] + j] for j in range(size)]
+    return at[maybe[repeated(*columns, doc[at[maybe]], first=True)]]
+
+
 def judge(buf: np.ndarray, off: np.ndarray, r: LineRules) -> dict[str, np.ndarray]:
     """Measures of every text of a slice, and for its lines the bounds and whether they stay."""
     d = len(off) - 1
-    w, pre = Words(buf, off), Prefix(buf)
+    w = Words(buf, off)
     n_words = np.diff(w.owner)
     points = ((buf & 0xC0) != 0x80) & ~w.space
     out = {"n_words": n_words, "word_chars": sums_at(points, off), "n_symbols": sums_at(_SYMBOLS[buf], off)}
@@ -93,12 +106,9 @@ def judge(buf: np.ndarray, off: np.ndarray, r: LineRules) -> dict[str, np.ndarra
     line_doc = np.repeat(np.arange(d), np.diff(lo))
     a, b = np.searchsorted(w.start, ls), np.searchsorted(w.start, le)
     has = np.flatnonzero(b > a)
-    salt = mix(np.arange(d, dtype=np.uint64) + np.uint64(77))
-    dup = has[repeated(pre.of(ls[has], le[has]) ^ salt[line_doc[has]], first=False)]
+    dup = has[repeated(classes_of(buf, ls[has], le[has]), line_doc[has], first=False)]
     out["n_dup_lines"] = np.bincount(line_doc[dup], minlength=d)
-    win, at = shingles(pre.of(w.start, w.end), w.owner, r.window)
-    wdoc = w.doc()
-    hit = at[repeated(win ^ salt[wdoc[at]], first=True)]
+    hit = repeated_windows(classes_of(buf, w.start, w.end), w.owner, w.doc(), r.window)
     cover = np.zeros(len(w.start) + r.window + 1, np.int64)
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + r.window, -1)

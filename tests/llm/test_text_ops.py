@@ -23,6 +23,49 @@ def test_quality_rules_by_hand(spark):
         assert not (g["kept"] and g["base_failed"])
 
 
+def test_lines_that_a_polynomial_takes_for_equal(spark):
+    """The Thue-Morse word and its complement: different lines, one value of any polynomial modulo 2**64."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate({97: "b", 98: "a"})
+    texts = [f"{word}\n{other}", f"{word}\n{word}", " ".join([word, other, word, word, other, other] * 2)]
+    got = {r["doc_id"]: r for r in quality_rules.line_clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k]["n_dup_lines"] for k in range(3)] == [0, 1, 0] and [got[k]["n_repeat_words"] for k in range(3)] == [0, 0, 12]
+
+
+def test_equal_hashes_of_different_spans_are_told_apart():
+    from mailloom.llm.common import classes_of, same_spans
+
+    buf = np.frombuffer(b"abcabdabcxabd", np.uint8)
+    start, end = np.array([0, 3, 6, 10]), np.array([3, 6, 9, 13])
+    for key in (np.zeros(4, np.uint64), None, np.array([5, 5, 5, 9], np.uint64)):
+        n = classes_of(buf, start, end, key)
+        assert n[0] == n[2] and n[0] != n[1] and (key is not None and key[3] == 9 or n[1] == n[3])
+    r = random.Random(6)
+    data = np.array([r.choice(b"ab") for _ in range(4000)], np.uint8)
+    a = np.array([r.randrange(3900) for _ in range(500)])
+    b, n = np.array([r.randrange(3900) for _ in range(500)]), np.array([r.randrange(0, 9) for _ in range(500)])
+    assert same_spans(data, a, a + n, b, b + n, room=16).tolist() == [data[x : x + k].tobytes() == data[y : y + k].tobytes() for x, y, k in zip(a, b, n, strict=True)]
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    docs = spark.createDataFrame([(k, prose(k, 60), "en") for k in range(30)] + [(100 + k, prose(k, 60)[::-1], "fr") for k in range(30)], "doc_id long, text string, lang string")
+    model = language_id.train_language(docs)
+    odd = ["😀 😀", "。、！", "１２３ ４", "\u0301\u0302", "12 !", "", None, "漢字", "ａｂ", "x"]
+    got = {r["doc_id"]: r for r in language_id.predict_language(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()}
+    assert [got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in range(len(odd))] == [not any(c.isalpha() for c in t or "") for t in odd]
+
+
+def test_features_against_plain_counts():
+    """Hashed n-grams of a text: as many as letters and single spaces between them, the same for the same letters."""
+    for text in ["Über 12 Äpfel!", "a", "a b", "漢 字", "x" * 50, "  a..b  "]:
+        grams, bound, letters = language_id._features([text, None, text.upper() if text.isascii() else text], 12)
+        runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        # every run of letters brings its letters and, but for a text's end, one space
+        spaces = sum(1 for i, c in enumerate(text.lower()) if not c.isalpha() and i and text.lower()[i - 1].isalpha())
+        assert bound[1] - bound[0] in (sum(map(len, runs)) + spaces, sum(map(len, runs)) + spaces + 1) and list(letters) == [True, False, True]
+        assert (grams < 1 << 12).all()
+
+
 def test_line_rules_remove_lines_then_texts(spark):
     good = [prose(k, 14).capitalize() + "." for k in range(6)]
     bad = ["Home | News | Sport | About", "!!! ### $$$ %%% buy now", prose(50, 15), "This site uses cookies to help you."]
