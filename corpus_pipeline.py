@@ -2,6 +2,13 @@
 
 run() writes each stage's result as Parquet and reads it back as the next one's docs. All stages
 but the last return the columns of documents; the last returns the pieces of the packed sequences.
+What a stage writes for itself is deleted when its result is written, and that when the next one's is.
+
+Cases: null, empty and letterless texts go in the first stage, as their language is unknown; other
+nulls stay. Copies and repeated rows of one text leave the one with the smallest id; rows of one id with
+different texts go or stay together. A text of which the third stage leaves only white space goes. Very
+long texts pass every stage whole and end as several pieces. Empty tables give empty results. Extra
+columns are not passed on, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.llm import bin_packing, jaccard_join, language_id, source_mix, suffix_dedup
-from mailloom.llm.common import materialize, table
+from mailloom.llm.common import materialize, release, scratch, sweeping, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a language is rejected below this probability
@@ -67,6 +74,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        path, before = scratch(spark), docs
+        with sweeping(spark):
+            docs = materialize(stage(spark, docs, sf_dir), path)
+        if k:
+            release(before)
     return docs

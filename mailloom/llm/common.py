@@ -6,7 +6,9 @@ lines, windows and their 64-bit fingerprints are computed by whole-array operati
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +25,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path below the cluster's shared checkpoint folder; without one, a cluster is refused."""
-    return fresh_path(spark)
+#: the paths made inside of each open sweeping()
+_SWEPT: list[list[str]] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A fresh path below the cluster's shared checkpoint folder; without one, a cluster is refused."""
+    path = fresh_path(spark)
+    for made in _SWEPT:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def sweeping(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the scratch tables made inside; what is to stay has its path from before."""
+    made: list[str] = []
+    _SWEPT.append(made)
+    try:
+        yield
+    finally:
+        _SWEPT[:] = [m for m in _SWEPT if m is not made]
+        for path in made:
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder, read back. Survives the loss of executors."""
     spark = df.sparkSession
-    path = scratch(spark)
+    path = path or scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:
     """Delete a table written by materialize() that no later plan reads."""
-    spark = df.sparkSession
     for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, f.rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -126,7 +151,7 @@ class Prefix:
 
 
 #: spans of more bytes are hashed one by one
-_LONG = 64
+_LONG = 128
 _HEAD = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 

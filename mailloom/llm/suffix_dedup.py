@@ -7,14 +7,18 @@ the first `span` bytes of a suffix matter, so suffixes can be sorted apart by wh
 2. Screen. Every string of `span` bytes is assigned the least fingerprint of its `gram`-byte parts;
    equal strings have equal ones. Runs of positions with one fingerprint are a region. Chunks send
    each fingerprint once, packed by bucket; buckets answer with a bit for each: seen elsewhere too?
+   A fingerprint with more than `hot_regions` different regions (a phrase in countless contexts) is
+   hot: its windows are sent one by one, spread over as many parts as it takes by their own hashes.
 3. Sort. Regions whose fingerprint is shared go to its bucket, a chunk's equal regions once. There
-   equal regions collapse; of fingerprints with several different regions, the suffixes are sorted
+   regions of equal bytes collapse; of fingerprints with several different regions, the suffixes are sorted
    by the difference cover modulo three: sort the triples at the sampled positions, name them,
    recurse on the names until they span enough bytes, merge the remaining suffixes. Neighbours are
    compared byte by byte, and each class of equal strings gets its smallest id. Buckets answer with
    the positions, region by region, that some smaller id holds.
 4. Cut. Chunks mark what the answers cover.
 
+A fingerprint only ever proposes: what is taken for equal was compared byte by byte.
+
 Every message between chunks and buckets is a packed array; a string that very many texts share
 is one entry per chunk at most.
 
@@ -35,9 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, materialize, mix, scratch, small_batches, text_slices
+from .common import Prefix, classes_of, materialize, mix, scratch, small_batches, span_hashes, text_slices
 
+#: stands for a null id, which counts as larger than all others but this one; results carry the ids as they were given
 NO_ID = np.iinfo(np.int64).max
+#: parts of a hot fingerprint are numbered above the buckets
+PART = 40
+#: different regions of a fingerprint in one chunk that are worth telling
+MANY = 8
 
 
 @dataclass(frozen=True)
@@ -50,6 +59,8 @@ class SpanSettings:
     bucket_bytes: int = 8 << 20
     #: bytes of regions sorted at once
     sort_bytes: int = 1 << 20
+    #: different regions of one fingerprint from which its windows are spread, and to a part
+    hot_regions: int = 20_000
     #: answers of this many bytes at most are sent to all executors; larger ones meet the chunks by a shuffle
     broadcast_bytes: int = 32 << 20
 
@@ -70,7 +81,7 @@ def _chunks(docs: DataFrame, s: SpanSettings, keep: tuple[str, ...]) -> DataFram
         for batch in batches:
             for a, b, buf, off in text_slices(batch.column(1), s.chunk_bytes):
                 ids = batch.column(0).slice(a, b - a).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([(TaskContext.get().partitionId() << 32) + n]), "ids": pa.array([ids.tobytes()], pa.binary()), "offs": pa.array([off.tobytes()], pa.binary()), "data": pa.array([buf.tobytes()], pa.binary()), "kept": pa.array([_ipc(batch.select(range(2, batch.num_columns)).slice(a, b - a)) if keep else b""], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([(TaskContext.get().partitionId() << 32) + n]), "ids": pa.array([ids.tobytes()], pa.binary()), "offs": pa.array([off.tobytes()], pa.binary()), "data": pa.array([buf.tobytes()], pa.binary()), "kept": pa.array([_ipc(batch.select([0, *range(2, batch.num_columns)]).slice(a, b - a))], pa.binary())})
                 n += 1
 
     spark = docs.sparkSession
@@ -133,6 +144,14 @@ class Regions:
         self.first, self.last, self.key, self.full = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
         self.doc = np.searchsorted(off, self.first, "right") - 1
 
+    def different(self, at: np.ndarray, codes: int) -> np.ndarray:
+        """Different regions of each code, as their fingerprints have it."""
+        order = np.lexsort((self.full, at))
+        f, c = self.full[order], at[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
+        return np.bincount(c[new], minlength=codes)
+
     def codes(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct (bucket << 32 | 32 bits of the key); each region's place; which are in two texts here."""
         code = ((self.key % np.uint64(buckets)) << np.uint64(32)) | (self.key >> np.uint64(32))
@@ -151,28 +170,46 @@ def _split(sorted_buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class Shared:
-    """The regions of a chunk whose fingerprint other texts have too, equal ones once, by bucket."""
+    """The regions of a chunk whose fingerprint other texts have too, equal ones once, by bucket or part."""
 
-    def __init__(self, ids: np.ndarray, off: np.ndarray, buf: np.ndarray, flags: dict[int, bytes], buckets: int, s: SpanSettings):
+    def __init__(self, ids: np.ndarray, off: np.ndarray, buf: np.ndarray, flags: dict[int, tuple[bytes, bytes]], buckets: int, s: SpanSettings):
         r = Regions(buf, off, s)
         codes, at, local = r.codes(buckets)
-        seen = local
+        seen, parts = local, np.zeros(len(codes), np.int64)
         for b, lo, hi in zip(*_split(codes >> np.uint64(32)), strict=True):
             if int(b) in flags:
-                seen[lo:hi] |= np.unpackbits(np.frombuffer(flags[int(b)], np.uint8), count=hi - lo).astype(bool)
+                bits, hot = flags[int(b)]
+                seen[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+                places, n = np.frombuffer(hot, np.uint32).reshape(-1, 2).T
+                parts[lo + places] = n
         pick = np.flatnonzero(seen[at])
         self.first, self.last, self.doc, key = r.first[pick], r.last[pick], r.doc[pick], r.key[pick]
-        full = r.full[pick]
-        owner = ids[self.doc] if len(pick) else np.empty(0, np.int64)
-        bucket = key % np.uint64(buckets)
-        order = np.lexsort((owner, full, key, bucket))
-        k, f = key[order], full[order]
+        full, bucket, into = r.full[pick], (key % np.uint64(buckets)).astype(np.int64), parts[at[pick]]
+        if into.any():
+            key, full, bucket = self._spread(buf, key, full, bucket, into, s)
+        owner = ids[self.doc] if len(key) else np.empty(0, np.int64)
+        same = classes_of(buf, self.first, self.last + s.span, full)
+        order = np.lexsort((owner, same, key, bucket))
+        k, f = key[order], same[order]
         head = np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])]) if len(order) else np.empty(0, bool)
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(head) - 1
         lead = order[head]
         self.lead, self.key, self.owner, self.bucket, self.occurs = lead, key[lead], owner[lead], bucket[lead], owner
 
+    def _spread(self, buf: np.ndarray, key: np.ndarray, full: np.ndarray, bucket: np.ndarray, into: np.ndarray, s: SpanSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Regions of hot fingerprints become their windows, each in the part that its own hash names."""
+        count = np.where(into > 0, self.last - self.first + 1, 1)
+        region = np.repeat(np.arange(len(count)), count)
+        step = np.arange(len(region)) - np.repeat(np.cumsum(count) - count, count)
+        hot = into[region] > 0
+        first, key, full, bucket = self.first[region] + step, key[region], full[region], bucket[region]
+        self.last, self.doc, self.first = np.where(hot, first, self.last[region]), self.doc[region], first
+        at = np.flatnonzero(hot)
+        full[at] = span_hashes(buf, first[at], first[at] + s.span)
+        bucket[at] |= (1 + (full[at] % into[region][at].astype(np.uint64)).astype(np.int64)) << PART
+        return key, full, bucket
+
 
 def _unpack(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     ids, off, data = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, np.int64), (2, np.int64), (3, np.uint8)))
@@ -244,22 +281,16 @@ def window_classes(data: np.ndarray, first: np.ndarray, count: np.ndarray, span:
 
 def least_owners(data: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray, owner: np.ndarray, s: SpanSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For entries (regions with the smallest id that holds each): a distinct region's number for
-    each entry, and per distinct region's windows the smallest id, with the windows' bounds."""
-    full = np.empty(len(first), np.uint64)
-    end = first + count + s.span - 1
-    a = 0
-    while a < len(first):  # entries lie one after the other; a slice of them at a time
-        b = max(a + 1, int(np.searchsorted(end, first[a] + s.sort_bytes, "right")))
-        full[a:b] = Prefix(data[first[a] : end[b - 1]]).of(first[a:b] - first[a], end[a:b] - first[a])
-        a = b
-    _, lead, number = np.unique(full, return_index=True, return_inverse=True)
+    each entry, by its bytes, and per distinct region's windows the smallest id, with the windows' bounds."""
+    _, lead, number = np.unique(classes_of(data, first, first + count + s.span - 1), return_index=True, return_inverse=True)
     low = np.full(len(lead), NO_ID, np.int64)
     np.minimum.at(low, number, owner)
     bound = np.concatenate([[0], np.cumsum(count[lead])])
     out = np.repeat(low, count[lead])
-    # only regions that share their fingerprint with a different one can share a window with it
+    # only regions that share their fingerprint with a different one can share a window with it, and not if both are one window
     keys, group, many = np.unique(key[lead], return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(many[group] > 1)
+    wide = np.bincount(group, weights=count[lead] > 1, minlength=len(keys))
+    mixed = np.flatnonzero((many[group] > 1) & (wide[group] > 0))
     mixed = mixed[np.argsort(group[mixed], kind="stable")]
     weight = np.cumsum(count[lead[mixed]] + s.span) if len(mixed) else np.empty(0, int)
     a = 0
@@ -302,7 +333,7 @@ def _by_bucket(rows: DataFrame, answer, schema: str) -> DataFrame:
 def _meet(chunks: DataFrame, notes: DataFrame, limit: int, *more: str) -> DataFrame:
     """notes: chunk, bucket, and binary columns; joined to the chunks as one array of structs."""
     packed = [c for c in notes.columns if c not in ("chunk", "bucket")]
-    size = notes.agg(F.sum(sum((F.length(c) for c in packed), F.lit(24)))).first()[0] or 0
+    size = notes.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in packed), F.lit(24)))).first()[0] or 0
     each = notes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", *packed)).alias("notes"))
     if size <= limit:
         each = F.broadcast(each)
@@ -324,27 +355,44 @@ def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text:
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, _, off, buf = _unpack(batch, i)
-                codes, _, _ = Regions(buf, off, s).codes(buckets)
+                r = Regions(buf, off, s)
+                codes, at, _ = r.codes(buckets)
                 b, lo, hi = _split(codes >> np.uint64(32))
                 short = (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(b.astype(np.int64)), "chunk": pa.array(np.full(len(b), chunk)), "codes": pa.array([short[x:y].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary())})
+                many = r.different(at, len(codes))
+                told = [(x + np.flatnonzero(many[x:y] >= MANY), x) for x, y in zip(lo, hi, strict=True)]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "bucket": pa.array(b.astype(np.int64)),
+                        "chunk": pa.array(np.full(len(b), chunk)),
+                        "codes": pa.array([short[x:y].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary()),
+                        "many": pa.array([np.stack([k - x, many[k]], 1).astype(np.uint32).tobytes() for k, x in told], pa.binary()),
+                    }
+                )
 
     def seen_elsewhere(rows: list[tuple]) -> pa.RecordBatch:
         codes = [np.frombuffer(r[2], np.uint32) for r in rows]
-        every = np.sort(np.concatenate(codes))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        every, chunks_of = np.unique(np.concatenate(codes), return_counts=True)
+        different = chunks_of.copy()
+        for c, r in zip(codes, rows, strict=True):
+            places, n = np.frombuffer(r[3], np.uint32).reshape(-1, 2).T
+            np.add.at(different, np.searchsorted(every, c[places]), n.astype(np.int64) - 1)
+        parts = np.where(different > s.hot_regions, -(-different // s.hot_regions), 0)
+        twice, hot = every[chunks_of > 1], every[parts > 0]
         hit = [np.isin(c, twice, assume_unique=True) for c in codes]
-        some = [k for k, h in enumerate(hit) if h.any()]
-        return pa.RecordBatch.from_pydict({"chunk": pa.array([rows[k][1] for k in some], pa.int64()), "bucket": pa.array([rows[k][0] for k in some], pa.int64()), "flags": pa.array([np.packbits(hit[k]).tobytes() for k in some], pa.binary())})
+        warm = [np.flatnonzero(np.isin(c, hot, assume_unique=True)) if len(hot) else np.empty(0, np.int64) for c in codes]
+        some = [k for k, h in enumerate(hit) if h.any() or len(warm[k])]
+        spread = [np.stack([warm[k], parts[np.searchsorted(every, codes[k][warm[k]])]], 1).astype(np.uint32).tobytes() for k in some]
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([rows[k][1] for k in some], pa.int64()), "bucket": pa.array([rows[k][0] for k in some], pa.int64()), "flags": pa.array([np.packbits(hit[k]).tobytes() for k in some], pa.binary()), "hot": pa.array(spread, pa.binary())})
 
-    sent = chunks.select("chunk", "ids", "offs", "data").mapInArrow(screen, "bucket long, chunk long, codes binary")
-    flags = materialize(_by_bucket(sent, seen_elsewhere, "chunk long, bucket long, flags binary"))
+    sent = chunks.select("chunk", "ids", "offs", "data").mapInArrow(screen, "bucket long, chunk long, codes binary, many binary")
+    flags = materialize(_by_bucket(sent, seen_elsewhere, "chunk long, bucket long, flags binary, hot binary"))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, ids, off, buf = _unpack(batch, i)
-                got = Shared(ids, off, buf, {x["bucket"]: x["flags"] for x in batch.column(4)[i].as_py() or []}, buckets, s)
+                got = Shared(ids, off, buf, {x["bucket"]: (x["flags"], x["hot"]) for x in batch.column(4)[i].as_py() or []}, buckets, s)
                 if not len(got.lead):
                     continue
                 b, lo, hi = _split(got.bucket)
@@ -399,7 +447,7 @@ def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text:
             for i in range(batch.num_rows):
                 _, ids, off, buf = _unpack(batch, i)
                 notes = batch.column(4)[i].as_py() or []
-                got = Shared(ids, off, buf, {x["bucket"]: x["flags"] for x in notes if x["flags"] is not None}, buckets, s)
+                got = Shared(ids, off, buf, {x["bucket"]: (x["flags"], x["hot"]) for x in notes if x["flags"] is not None}, buckets, s)
                 mask = np.zeros(len(got.lead), np.uint64)
                 answers = {x["bucket"]: x for x in notes if x["states"] is not None}
                 for b, lo, hi in zip(*_split(got.bucket), strict=True):
@@ -408,9 +456,9 @@ def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text:
                         mask[lo:hi][state == 1] = np.uint64(0xFFFFFFFFFFFFFFFF)
                         mask[lo:hi][state == 2] = np.frombuffer(answers[int(b)]["masks"], np.uint64)
                 out = _result(ids, off, buf, got, mask, s, with_text)
-                if keep:
-                    for name, column in zip(keep, pa.ipc.open_stream(batch.column(5)[i].as_buffer()).read_all().columns, strict=True):
-                        out = out.append_column(name, column.combine_chunks())
+                given = pa.ipc.open_stream(batch.column(5)[i].as_buffer()).read_all().combine_chunks().to_batches()
+                for name, column in zip(("doc_id", *keep), given[0].columns if given else (), strict=False):
+                    out = out.set_column(0, name, column) if name == "doc_id" else out.append_column(name, column)
                 yield out
 
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
@@ -444,7 +492,7 @@ def _result(ids: np.ndarray, off: np.ndarray, buf: np.ndarray, got: Shared, mask
     for d in range(len(ids)):
         a, b = off[d], off[d + 1]
         left.append(raw[a:b] if not removed[d] else buf[a:b][~gone[a:b]].tobytes())
-    out = {"doc_id": pa.array(ids, mask=ids == NO_ID), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}
+    out = {"doc_id": pa.array(ids), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}
     if with_text:
         out["text"] = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
     return pa.RecordBatch.from_pydict(out)

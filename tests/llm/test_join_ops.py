@@ -110,12 +110,44 @@ def repeats(seed):
 @pytest.mark.parametrize("small", [False, True])
 def test_spans_against_every_string(spark, small):
     rows = repeats(1) + [(100 + i, t) for i, t in IDS]
-    s = suffix_dedup.SpanSettings(chunk_bytes=4000, cache_bytes=700, bucket_bytes=9000, sort_bytes=2000, broadcast_bytes=0) if small else suffix_dedup.SpanSettings()
+    s = suffix_dedup.SpanSettings(chunk_bytes=4000, cache_bytes=700, bucket_bytes=9000, sort_bytes=2000, broadcast_bytes=0, hot_regions=3) if small else suffix_dedup.SpanSettings()
     got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), s, with_text=True).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == plain_spans(rows)
     assert all(r["text"] is not None for r in got)
 
 
+def test_a_phrase_in_countless_contexts(spark):
+    """One 30-byte phrase, every time in another context, some contexts twice: spread over parts, the same result."""
+    r = random.Random(8)
+    context = lambda: "".join(r.choice("abcdefgh") for _ in range(24))
+    some = [context() + "AAAAAAAAAA the phrase AAAAAAAA" + context() for _ in range(600)]
+    rows = [(k, r.choice(some) if k % 4 == 0 else context() + "AAAAAAAAAA the phrase AAAAAAAA" + context()) for k in range(2400)]
+    s = suffix_dedup.SpanSettings(hot_regions=100, bucket_bytes=1 << 20, chunk_bytes=20_000)
+    want = plain_spans(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.repeated_spans(df, s).collect()} == want and sum(v[1] for v in want.values())
+
+    # a chunk's windows of the hot fingerprint lie in many parts, equal ones in one
+    buf = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
+    regions = suffix_dedup.Regions(buf, off, s)
+    codes, at, _ = regions.codes(8)
+    hot = int(np.argmax(np.bincount(at)))
+    flags = {int(b): (np.packbits(np.ones(hi - lo, bool)).tobytes(), np.array([[hot - lo, 50]] if lo <= hot < hi else [], np.uint32).tobytes()) for b, lo, hi in zip(*suffix_dedup._split(codes >> np.uint64(32)), strict=True)}
+    got = suffix_dedup.Shared(np.arange(len(rows)), off, buf, flags, 8, s)
+    parts = got.bucket[got.bucket >> suffix_dedup.PART > 0]
+    assert len(np.unique(parts)) == 50 and np.bincount(np.unique(parts, return_inverse=True)[1]).max() < 3 * len(parts) / 50
+    windows = [buf[a : a + 50].tobytes() for a in got.first[got.lead][got.bucket >> suffix_dedup.PART > 0]]
+    assert len(windows) == len(set(windows))
+
+
+def test_the_greatest_id_is_an_id(spark):
+    top = (1 << 63) - 1
+    rows = [(top, "z" * 60), (None, "y" * 60), (5, "z" * 60)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {top: 60, None: 0, 5: 0}
+
+
 def test_spans_awkward(spark):
     docs = awkward(spark)
     got = suffix_dedup.repeated_spans(docs, with_text=True, keep=("lang", "score")).collect()
