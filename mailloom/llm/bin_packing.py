@@ -1,8 +1,9 @@
 """Variable-capacity best-fit packing of texts into training sequences.
 
-Texts longer than the largest permitted length are cut into pieces of it. Pieces are dealt to
-shards of a bounded number of rows; a random shard has the lengths of the whole table, so that
-packing shards apart costs next to nothing. In a shard, pieces go longest first into the open bin
+Texts longer than the largest permitted length are cut into pieces of it. Pieces are dealt in turn,
+whatever their ids, to shards of about `shard_rows`, one to a task, so that no id, null or repeated,
+gathers in one of them. A shard has the lengths of the whole table; what packing shards apart costs
+is measured in the README. In a shard, pieces go longest first into the open bin
 that they leave least room in; if none fits, a bin of the size with the least expected cost per
 token is opened; at the end every bin shrinks to the smallest permitted length that holds it.
 
@@ -14,10 +15,12 @@ like any other; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ class PackSettings:
     #: cost of a bin besides its length, in tokens
     bin_cost: int = 8
     #: rows of a shard, about
-    shard_rows: int = 4096
+    shard_rows: int = 32_768
 
 
 def pack(lengths: np.ndarray, s: PackSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,16 +86,19 @@ def pack_documents(lengths: DataFrame, s: PackSettings = PackSettings()) -> Data
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).alias("length"))
     rows = lengths.agg(F.sum(F.greatest(F.lit(1), F.ceil(n / most)))).first()[0] or 0
     shards = max(1, -(-int(rows) // s.shard_rows))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        pdf = pd.concat(held).sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
         got = np.flatnonzero(pdf["length"].to_numpy() > 0)
         bins, place, capacity = pack(pdf["length"].to_numpy()[got], s)
         name = np.full(len(pdf), None, object)
-        name[got] = [f"{pdf['shard'].iat[0]}-{b}" for b in bins]
+        name[got] = [f"{TaskContext.get().partitionId()}-{b}" for b in bins]
         position, size = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         position[got], size[got] = place, capacity
-        return pdf.assign(bin_id=name, position=position, capacity=size)[["doc_id", "piece", "start", "length", "bin_id", "position", "capacity"]]
+        yield pdf.assign(bin_id=name, position=position, capacity=size)[["doc_id", "piece", "start", "length", "bin_id", "position", "capacity"]]
 
-    return pieces.groupBy("shard").applyInPandas(run, SCHEMA)
+    # dealt in turn after a sort by the rows' hashes, which a lost task repeats
+    return pieces.repartition(shards).mapInPandas(run, SCHEMA)

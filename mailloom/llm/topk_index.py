@@ -156,7 +156,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
     spark = vectors.sparkSession
     small_batches(spark)
     rows, asked = _quantised(vectors, id_col, vec_col, scale), _quantised(queries, id_col, vec_col, scale)
-    slots = slots or max(1, min(vectors.rdd.getNumPartitions(), 256))
+    # a slot for each block or so of the index, and a copy of the queries for each slot
+    slots = slots or 2 * max(1, -(-rows.count() // block_rows))
     index = _packed(rows, block_rows, "index").withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
     sent = _packed(asked, query_rows, "query").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     pairs = index.join(sent.select(F.col("dim"), F.col("slot"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals")), ["dim", "slot"])

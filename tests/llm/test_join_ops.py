@@ -523,10 +523,62 @@ def test_pipeline_against_plain_stages(spark):
 
 
 def test_pipeline_awkward(spark):
-    for docs in (awkward(spark, False), spark.createDataFrame([], DOCS)):
-        for _, f in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.materialize(f(spark, docs, ""))
-        assert docs.count() >= 0
+    docs = awkward(spark, False)
+    gone = {i for i, t, *_ in awkward_rows() if not any(c.isalpha() for c in t or "")}
+    for name, f in corpus_pipeline.STAGES[:4]:
+        before, docs = docs, corpus_pipeline.materialize(f(spark, docs, ""))
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+        ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        assert set(ids) <= {r["doc_id"] for r in before.select("doc_id").collect()} and not set(ids) & gone and len(ids) == len(set(ids)), name
+        if name == "jaccard_join":
+            assert {3, 6, 8} <= set(ids) and not {4, 5, 7, 13} & set(ids)
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, "").collect()
+    assert sum(r["length"] for r in pieces) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in docs.collect())
+    docs = spark.createDataFrame([], DOCS)
+    for _, f in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(f(spark, docs, ""))
+        assert docs.count() == 0
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    from mailloom.llm import common
+
+    monkeypatch.setattr(common, "fresh_path", lambda spark: str(tmp_path / f"t{len(list(tmp_path.iterdir()))}-{random.random()}"))
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in near_copies(4)[:40]], DOCS).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "in"))
+    assert got.count() and len([p for p in tmp_path.iterdir() if p.name != "in"]) == 1
+
+
+def test_texts_of_megabytes(spark):
+    """Longer than a slice and a chunk: whole texts are measured, linked, cut and packed."""
+    from mailloom.llm import quality_rules
+    from mailloom.llm.source_mix import token_count
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(330_000)]
+    long = "\n".join(" ".join(words[k : k + 20]) + "." for k in range(0, len(words), 20))
+    rows = [(1, long), (2, long + "\nshort end of it."), (3, "one short text of its own, no more.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert len(long) > 2_600_000
+    rules = {x["doc_id"]: x for x in quality_rules.line_clean(docs).collect()}
+    assert rules[1]["n_words"] == 330_000 and rules[2]["n_words"] == 330_004 and rules[1]["n_dup_lines"] == 0 and rules[1]["word_chars"] == 330_000 * 7 + 16_500
+    links = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard_join.jaccard_classes(docs).collect()}
+    assert links == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    cut = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.repeated_spans(docs, suffix_dedup.SpanSettings(chunk_bytes=1 << 20)).collect()}
+    assert cut == {1: (0, 0), 2: (len(long), 1), 3: (0, 0)}
+    packed = bin_packing.pack_documents(docs.select("doc_id", token_count(F.col("text")).alias("n_tokens"))).groupBy("doc_id").sum("length").collect()
+    assert {x["doc_id"]: x["sum(length)"] for x in packed} == {1: 330_000, 2: 330_004, 3: 8}
+
+
+def test_packing_spreads_null_and_repeated_ids(spark):
+    rows = [(None, 50 + k % 7) for k in range(400)] + [(9, 60) for _ in range(400)] + [(20 + k, 70) for k in range(400)]
+    got = bin_packing.pack_documents(spark.createDataFrame(rows, "doc_id long, n_tokens long"), bin_packing.PackSettings(shard_rows=200)).collect()
+    assert len(got) == len(rows)
+    shards = defaultdict(int)
+    for x in got:
+        shards[x["bin_id"].split("-")[0]] += 1
+    assert len(shards) == 6 and max(shards.values()) < 300
 
 
 def test_sql_of_queries(spark):
