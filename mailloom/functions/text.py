@@ -37,14 +37,19 @@ def _near(chars: list[str], gap: int = 256) -> str:
 
 
 def casefold(c: Column) -> Column:
-    """Full case folding. After lower case, ß and µ a search tells whether anything may be left to do."""
+    """Full case folding. After lower case, ß and µ two searches, the cheap one first, tell whether anything may be left to do."""
     one, more = case_folds()
-    low = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
-    rare = [x for x in [*one, *more] if x not in "ßµ"]
+    rare = _near([x for x in [*one, *more] if x not in "ßµ"])
     # one literal, each part a character and what it becomes
     rest = F.split(F.lit(" ".join(char + full for char, full in more.items())), " ")
-    full = F.aggregate(rest, F.translate(low, "".join(one), "".join(one.values())), lambda done, e: F.replace(done, F.substring(e, 1, 1), F.substring(e, 2, 9)))
-    return F.when(low.rlike(_near(rare)), full).otherwise(low)
+
+    def fold(low: Column) -> Column:
+        full = F.aggregate(rest, F.translate(low, "".join(one), "".join(one.values())), lambda done, e: F.replace(done, F.substring(e, 1, 1), F.substring(e, 2, 9)))
+        return F.when(low.rlike(r"[^\x00-\xff]") & low.rlike(rare), full).otherwise(low)
+
+    low = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    # inside of a lambda, so that the lower case is made once
+    return F.get(F.transform(F.array(low), fold), F.lit(0))
 
 
 def normalized_evidence(c: Column) -> Column:
