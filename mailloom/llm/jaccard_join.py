@@ -6,12 +6,18 @@ the set of its five-word shingles (of one shingle, if it has fewer words). Steps
 1. MinHash values; candidates share a band of them. Within a bucket of equal bands every member is
    tied to the smallest and the largest member; ties whose values plainly disagree are dropped. The
    components of what is left, small groups of similar texts, hold all candidate pairs.
-2. A component is cut into blocks of `block` texts, and each pair of blocks is one unit of work, so
+2. A component of more than `block` texts, such as the pages of one site, is parted again by its
+   rarest shingles: two sets that reach the threshold share one of the first |x| - ceil(t |x|) + 1
+   of each, in any one order. In the order of their number of texts those are the texts' own words,
+   not the boilerplate, so what is left together are links and few others; only where more than
+   four fifths of a text are boilerplate does that part nothing. No link is lost by it.
+3. A group is cut into blocks of `block` texts, and each pair of blocks is one unit of work, so
    a large group is spread over many tasks. Pairs exist only inside a unit, never as rows.
-3. Within a unit the MinHash values are compared `step` at a time. Under a uniform prior, the
-   agreement so far gives the posterior probability that the similarity reaches the threshold;
-   below `tolerance` the pair is dropped. Survivors are verified exactly on their shingles.
-4. Units return each text's number of links and a spanning forest; the components of the forests
+4. Within a unit pairs of too different sizes are dropped, then the MinHash values are compared
+   `step` at a time. Under a uniform prior, the agreement so far gives the posterior probability
+   that the similarity reaches the threshold; below `tolerance` the pair is dropped. Survivors are
+   verified exactly on their shingles.
+5. Units return each text's number of links and a spanning forest; the components of the forests
    are the classes.
 
 Cases: null and empty texts, and texts of white space alone, have no shingles and link to nothing
@@ -169,10 +175,13 @@ def _ties(reps: DataFrame, s: JoinSettings) -> DataFrame:
 def _verify(ids: np.ndarray, side: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], s: JoinSettings, least: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of a unit, as two index arrays. side: 0 or 1; pairs are across sides, or all if there is one."""
     m = len(ids)
+    size = np.array([len(x) for x in sets])
     if side.any():
         i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
     else:
         i, j = np.triu_indices(m, 1)
+    near = np.minimum(size[i], size[j]) >= s.threshold * np.maximum(size[i], size[j]) - 1e-9
+    i, j = i[near], j[near]
     agree, done = np.zeros(len(i), np.int64), 0
     for n, needed in least:
         agree += (sigs[i, done:n] == sigs[j, done:n]).sum(1)
@@ -180,7 +189,6 @@ def _verify(ids: np.ndarray, side: np.ndarray, sigs: np.ndarray, sets: list[np.n
         i, j, agree, done = i[keep], j[keep], agree[keep], n
         if not len(i):
             return i, j
-    size = np.array([len(x) for x in sets])
     both = _intersections(i, j, sets)
     hit = both >= s.threshold * (size[i] + size[j] - both) - 1e-9
     return i[hit], j[hit]
@@ -223,13 +231,62 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+#: shingles that leave a worker at once
+_FLAT = 1 << 18
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """root, doc_id, n, h: a row for each shingle of the rows' root, doc_id, shingles; n is their number."""
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        n = [len(x) for *_, x in held]
+        root, doc, size = (np.repeat(np.array(v, np.int64), n) for v in ([h[0] for h in held], [h[1] for h in held], [h[2] for h in held]))
+        return pa.RecordBatch.from_pydict({"root": root, "doc_id": doc, "n": size, "h": np.concatenate([h[3] for h in held])})
+
+    for batch in batches:
+        held, room = [], _FLAT
+        for root, doc, raw in zip(*(batch.column(c) for c in range(3)), strict=True):
+            x = np.frombuffer(raw.as_buffer(), np.int64)
+            for a in range(0, len(x), _FLAT):
+                held.append((root.as_py(), doc.as_py(), len(x), x[a : a + _FLAT]))
+                room -= len(held[-1][3])
+                if room <= 0:
+                    yield out(held)
+                    held, room = [], _FLAT
+        if held:
+            yield out(held)
+
+
+def finer_groups(rows: DataFrame, s: JoinSettings) -> DataFrame:
+    """rows: root, doc_id, shingles. node, root: groups within the old ones that hold all links.
+
+    A text whose rarest shingles no other text of its group has is in no group.
+    """
+    flat = rows.select("root", "doc_id", "shingles").mapInArrow(_shingle_rows, "root long, doc_id long, n long, h long")
+    # written out, so that the join shuffles anew and a shingle that a whole group has can be split
+    often = materialize(flat.groupBy("root", "h").agg(F.count("*").alias("f")).where("f > 1"))
+    # those of one text alone come first in the order; only their number matters
+    shared = flat.join(often, ["root", "h"]).groupBy("root", "doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("of"))
+    first = F.col("n") - F.ceil(F.lit(s.threshold) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("of"))
+    first = shared.where(first > 0).select("root", "doc_id", F.explode(F.slice("of", F.lit(1), first.cast("int"))).alias("x"))
+    first = materialize(first.select("root", "doc_id", F.col("x.h").alias("h")))
+    least = materialize(first.groupBy("root", "h").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w")).where("v < w").select("root", "h", "v"))
+    edges = materialize(first.join(least, ["root", "h"]).select(F.col("doc_id").alias("u"), "v").where("u <> v").distinct())
+    groups = connected_components(edges)
+    for done in (often, first, least, edges):
+        release(done)
+    return groups
+
+
 def _units(members: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
     """members: node, root. u, v, links: per unit, each linked text's smallest partner and its number of links."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("m")).withColumn("nb", F.ceil(F.col("m") / s.block).cast("int"))
-    known = materialize(members.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "nb"))
-    if known.count() <= BROADCAST_IDS:
-        known = F.broadcast(known)
-    with_text = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
+    known = materialize(members.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "m"))
+    with_text = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(known), "doc_id")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mh = MinHash(s)
@@ -241,14 +298,21 @@ def _units(members: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
                     {
                         "doc_id": batch.column(0).slice(a, b - a),
                         "root": batch.column(1).slice(a, b - a),
-                        "nb": batch.column(2).slice(a, b - a),
+                        "m": batch.column(2).slice(a, b - a),
                         "sig": pa.array([mh.short(mh.values(x)).tobytes() for x in sets], pa.binary()),
                         "shingles": pa.array([x.tobytes() for x in sets], pa.binary()),
                     }
                 )
 
-    rows = with_text.select("doc_id", "root", "nb", "text").mapInArrow(prepare, "doc_id long, root long, nb int, sig binary, shingles binary")
-    rows = materialize(rows)
+    rows = with_text.select("doc_id", "root", "m", "text").mapInArrow(prepare, "doc_id long, root long, m long, sig binary, shingles binary")
+    rows = held_rows = materialize(rows)
+    if known.where(F.col("m") > s.block).limit(1).count():
+        finer = finer_groups(rows.where(F.col("m") > s.block), s)
+        sizes = finer.groupBy("root").agg(F.count("*").alias("m"))
+        finer = materialize(finer.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "m"))
+        parted = rows.where(F.col("m") > s.block).drop("root", "m").join(few(finer), "doc_id")
+        rows = rows.where(F.col("m") <= s.block).unionByName(parted)
+    rows = rows.withColumn("nb", F.ceil(F.col("m") / s.block).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")
     spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     spread = spread.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", (F.col("own") > F.col("other")).cast("int").alias("late"), "sig", "shingles")
@@ -284,7 +348,8 @@ def _units(members: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
 
     spread = spread.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
     found = materialize(spread.mapInArrow(work, "u long, v long, links long"))
-    release(rows)
+    release(held_rows)
+    release(known)
     return found
 
 

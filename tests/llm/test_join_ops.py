@@ -41,6 +41,38 @@ def test_jaccard_links_against_all_pairs(spark, block):
     assert {r["doc_id"]: (r["text_id"], r["class_id"], r["n_links"]) for r in got} == plain_classes(rows)
 
 
+def test_boilerplate_makes_no_pairs(spark):
+    """Pages of one template are one component of the ties; their own words part them, and every link stays."""
+    r = random.Random(5)
+    rows, page, more = [], prose(77, 130), prose(78, 60)
+    for k in range(400):
+        own = " ".join(f"w{r.randrange(10**9)}" for _ in range(60))
+        rows.append((k, f"{page} {own} {more}" if k % 2 else f"{page} {own}"))
+    for k in range(20):
+        rows.append((2000 + k, rows[19 * k][1].replace(" the ", " a ", 1) + " end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    s = jaccard_join.JoinSettings()
+    sketch = jaccard_join._sketch(docs, s)
+    wide = connected_components(jaccard_join._ties(sketch, s))
+    largest = max(x["count"] for x in wide.groupBy("root").count().collect())
+    assert largest > 200
+    sets = {i: jaccard_join.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0] for i, t in rows}
+    held = wide.collect()
+    flat = spark.createDataFrame([(x["root"], x["node"], bytearray(np.unique(sets[x["node"]]).tobytes())) for x in held], "root long, doc_id long, shingles binary")
+    groups = defaultdict(set)
+    for x in jaccard_join.finer_groups(flat, s).collect():
+        groups[x["root"]].add(x["node"])
+    assert sum(len(g) ** 2 for g in groups.values()) < 40 * len(rows)
+    want = plain_classes(rows)
+    linked = defaultdict(set)
+    for i, (_, c, n) in want.items():
+        if n:
+            linked[c].add(i)
+    assert len(linked) == 20 and all(any(g <= h for h in groups.values()) for g in linked.values())
+    got = jaccard_join.jaccard_classes(docs).collect()
+    assert {x["doc_id"]: (x["text_id"], x["class_id"], x["n_links"]) for x in got} == want
+
+
 def test_jaccard_by_shuffle_and_awkward(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
     docs = awkward(spark)
