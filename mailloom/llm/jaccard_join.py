@@ -6,8 +6,8 @@ the set of its five-word shingles (of one shingle, if it has fewer words). Steps
 1. MinHash values; candidates share a band of them. Within a bucket of equal bands every member is
    tied to the smallest and the largest member; ties whose values plainly disagree are dropped. The
    components of what is left, small groups of similar texts, hold all candidate pairs.
-2. A component of more than `block` texts, such as the pages of one site, is parted again by its
-   rarest shingles: two sets that reach the threshold share one of the first |x| - ceil(t |x|) + 1
+2. A component of more than `block` texts most of which are unlike its smallest, such as the pages
+   of one site, is parted again by its rarest shingles: two sets that reach the threshold share one of the first |x| - ceil(t |x|) + 1
    of each, in any one order. In the order of their number of texts those are the texts' own words,
    not the boilerplate, so what is left together are links and few others; only where more than
    four fifths of a text are boilerplate does that part nothing. No link is lost by it.
@@ -278,6 +278,23 @@ def finer_groups(rows: DataFrame, s: JoinSettings) -> DataFrame:
     return groups
 
 
+def _loose_groups(wide: DataFrame, s: JoinSettings) -> DataFrame:
+    """wide: root, doc_id, sig. root: groups of which most texts fall short of the threshold with the smallest one.
+
+    The others are near copies of one text: their pairs are links, which no order of shingles could spare.
+    """
+    heads = wide.where("doc_id = root").groupBy("root").agg(F.max("sig").alias("head"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, s.values) for c in (1, 2))
+            near = ((a == b).mean(1) >= s.threshold).astype(np.float64)
+            yield pa.RecordBatch.from_pydict({"root": batch.column(0), "near": near})
+
+    near = wide.join(heads, "root").select("root", "sig", "head").mapInArrow(run, "root long, near double")
+    return near.groupBy("root").agg(F.avg("near").alias("near")).where("near < 0.5").select("root")
+
+
 def _units(members: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
     """members: node, root. u, v, links: per unit, each linked text's smallest partner and its number of links."""
 
@@ -306,12 +323,14 @@ def _units(members: DataFrame, texts: DataFrame, s: JoinSettings) -> DataFrame:
 
     rows = with_text.select("doc_id", "root", "m", "text").mapInArrow(prepare, "doc_id long, root long, m long, sig binary, shingles binary")
     rows = held_rows = materialize(rows)
-    if known.where(F.col("m") > s.block).limit(1).count():
-        finer = finer_groups(rows.where(F.col("m") > s.block), s)
+    loose = materialize(_loose_groups(rows.where(F.col("m") > s.block), s))
+    if loose.limit(1).count():
+        loose = few(loose)
+        finer = finer_groups(rows.join(loose, "root", "left_semi"), s)
         sizes = finer.groupBy("root").agg(F.count("*").alias("m"))
         finer = materialize(finer.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "m"))
-        parted = rows.where(F.col("m") > s.block).drop("root", "m").join(few(finer), "doc_id")
-        rows = rows.where(F.col("m") <= s.block).unionByName(parted)
+        parted = rows.join(loose, "root", "left_semi").drop("root", "m").join(few(finer), "doc_id")
+        rows = rows.join(loose, "root", "left_anti").unionByName(parted.select(*rows.columns))
     rows = rows.withColumn("nb", F.ceil(F.col("m") / s.block).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")
     spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
