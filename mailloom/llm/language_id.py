@@ -5,8 +5,8 @@ letters count as a space and runs of spaces as one, so marks and numbers carry n
 of one to three characters are hashed to 2**`bits` features; a text's value of a feature is its
 share among the text's n-grams times the feature's inverse document frequency.
 
-Training reads a bounded sample (`per_class` texts of each language, in expectation); document
-frequencies are counted over every training text.
+Training reads a bounded sample (`per_class` texts of each language, in expectation, and the `most_classes`
+most frequent languages, equal numbers in order of name); document frequencies are counted over every training text.
 
 Cases: a null text, or one without letters, is `und` with score 0; null labels are not learned
 from; without any training rows all texts are `und`; repeated rows are scored alike; extra columns
@@ -35,6 +35,8 @@ class LanguageSettings:
     bits: int = 15
     #: bound of the training sample, texts of each language
     per_class: int = 700
+    #: languages learned, the most frequent ones; a column of free text has any number of values
+    most_classes: int = 256
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -170,7 +172,8 @@ def train_language(docs: DataFrame, s: LanguageSettings = LanguageSettings()) ->
 
     # bounded by the number of features, at any size of the input
     counted = rows.select("text").mapInArrow(frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
-    by_class = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.most_classes)
+    by_class = {r["lang"]: r["count"] for r in most.collect()}
     classes = sorted(by_class)
     if not classes:
         return LanguageModel([], np.zeros((1 << bits, 0)), np.zeros(0), 1.0, bits)
@@ -178,9 +181,7 @@ def train_language(docs: DataFrame, s: LanguageSettings = LanguageSettings()) ->
     df[counted["f"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     # a share of each language that leaves about per_class texts; all, if there are fewer
-    share = F.lit(0.0)
-    for c in classes:
-        share = F.when(F.col("lang") == c, F.lit(s.per_class / by_class[c])).otherwise(share)
+    share = docs.sparkSession.createDataFrame([(c, s.per_class / by_class[c]) for c in classes], "lang string, share double")
     u = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) / 1_000_000
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +194,7 @@ def train_language(docs: DataFrame, s: LanguageSettings = LanguageSettings()) ->
                     out.append((lang, i.astype(np.uint32).tobytes(), (n / n.sum()).astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["lang", "i", "v"])
 
-    sample = rows.where(u < share).select("text", "lang").mapInPandas(vectors, "lang string, i binary, v binary").toPandas()
+    sample = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("text", "lang").mapInPandas(vectors, "lang string, i binary, v binary").toPandas()
     sample = sample.sort_values(["lang", "i", "v"], kind="stable").reset_index(drop=True)
     y = sample["lang"].map({c: k for k, c in enumerate(classes)}).to_numpy(int)
     x = []

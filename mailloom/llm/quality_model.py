@@ -30,6 +30,8 @@ class QualitySettings:
     passage_words: int = 96
     #: bound of the training sample, texts of each label
     per_class: int = 3000
+    #: passages that a text of the training sample gives at most, evenly spaced over all of it; scoring takes all
+    train_passages: int = 256
     hidden: int = 24
     attention: int = 12
     epochs: int = 60
@@ -92,6 +94,12 @@ def encode_inputs(buf: np.ndarray, off: np.ndarray, words_each: int) -> tuple[np
     return out.astype(np.float32), bound
 
 
+def spaced(first: int, end: int, most: int) -> np.ndarray:
+    """The numbers from first to before end, or `most` of them, evenly spaced."""
+    n = int(end - first)
+    return first + (np.arange(n) if n <= most else np.arange(most) * n // most)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -179,7 +187,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, s: QualitySettings = Quali
         for batch in batches:
             for a, b, buf, off in text_slices(batch.column(1)):
                 x, bound = encode_inputs(buf, off, s.passage_words)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "label": batch.column(2).slice(a, b - a), "x": pa.array([x[bound[k] : bound[k + 1]].tobytes() for k in range(b - a)], pa.binary())})
+                some = [spaced(bound[k], bound[k + 1], s.train_passages) for k in range(b - a)]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "label": batch.column(2).slice(a, b - a), "x": pa.array([x[k].tobytes() for k in some], pa.binary())})
 
     got: pd.DataFrame = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary").toPandas()
     got = got.sort_values(["doc_id", "label", "x"], kind="stable")

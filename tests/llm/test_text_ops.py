@@ -119,6 +119,24 @@ def test_language_of_held_out_texts(spark):
     assert abs(np.mean([r["score"] for r in got]) - np.mean(right)) < 0.08
 
 
+def test_a_language_column_of_free_text(spark):
+    """Only the most frequent languages are learned, however many values there are."""
+    r = random.Random(5)
+    rows = [(k, " ".join(r.choice(VOCAB[lang].split()) for _ in range(30)), lang if k % 4 else f"free text {k}") for k in range(300) for lang in [r.choice(list(VOCAB))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train_language(df, language_id.LanguageSettings(most_classes=len(VOCAB)))
+    assert sorted(model.classes) == sorted(VOCAB)
+    got = {g["doc_id"]: g["lang_pred"] for g in language_id.predict_language(df, model).collect()}
+    assert len(got) == 300 and np.mean([got[k] == lang for k, _, lang in rows if k % 4]) >= 0.97
+    # equal numbers: in order of name
+    assert language_id.train_language(df.where("doc_id % 4 = 0"), language_id.LanguageSettings(most_classes=2)).classes == ["free text 0", "free text 100"]
+
+
+def test_passages_are_spaced_over_the_whole_text():
+    assert quality_model.spaced(5, 9, 4).tolist() == [5, 6, 7, 8] and quality_model.spaced(3, 3, 4).tolist() == []
+    assert quality_model.spaced(10, 20, 4).tolist() == [10, 12, 15, 17]
+
+
 def test_elastic_net_leaves_weights_at_zero():
     x = [(np.array([k % 2, 8]), np.array([1.0, 1.0])) for k in range(60)]
     y = np.array([k % 2 for k in range(60)])
