@@ -5,8 +5,8 @@ but the last return the columns of documents; the last returns the pieces of the
 What a stage writes for itself is deleted when its result is written, and that when the next one's is.
 
 Cases: null, empty and letterless texts go in the first stage, as their language is unknown; other
-nulls stay. Copies and repeated rows of one text leave the one with the smallest id; rows of one id with
-different texts go or stay together. A text of which the third stage leaves only white space goes. Very
+nulls stay. Copies of one text leave the one with the smallest id, repeated rows of an id one row with the least of
+its other columns; rows of one id with different texts go or stay together, rows without an id stay. A text of which the third stage leaves only white space goes. Very
 long texts pass every stage whole and end as several pieces. Empty tables give empty results. Extra
 columns are not passed on, so their names cannot clash.
 """
@@ -39,7 +39,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     more = materialize(jaccard_join.jaccard_classes(docs).where("class_id <> doc_id").select("doc_id"))
     if more.count() <= jaccard_join.BROADCAST_IDS:
         more = F.broadcast(more)
-    return docs.join(more, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.join(more, "doc_id", "left_anti").select(*COLUMNS)
+    # rows that share an id: equal texts become one row, the least of the other columns
+    twice = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if not twice.limit(1).count():
+        return docs
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("of"))
+    return docs.join(twice, "doc_id", "left_anti").unionByName(one.select("doc_id", "text", "of.*"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -572,6 +572,13 @@ def test_pipeline_awkward(spark):
         assert docs.count() == 0
 
 
+def test_one_row_stays_of_repeated_rows(spark):
+    text, other = prose(31, 60), prose(32, 60)
+    rows = [(7, text, "en", "b", 2), (7, text, "en", "a", 5), (7, text, "en", None, 1), (7, other, "en", "a", 1), (9, text, "de", "a", 1), (8, prose(33, 60), "en", "a", 1), (None, text, "en", "a", 1), (None, text, "en", "a", 1)]
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[2], rows[3], rows[5], rows[6], rows[7]], key=str)
+
+
 def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
     from mailloom.llm import common
 
