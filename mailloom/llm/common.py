@@ -69,9 +69,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: bytes from which an Arrow batch takes no more rows
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, since texts may be long."""
+    """Bound the rows and the bytes of an Arrow batch, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -47,6 +47,8 @@ NO_ID = np.iinfo(np.int64).max
 PART = 40
 #: different regions of a fingerprint in one chunk that are worth telling
 MANY = 8
+#: chunks in a row group
+GROUP = 4
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,10 @@ class SpanSettings:
     #: text per bucket; a bucket sees about a twelfth as many fingerprints
     bucket_bytes: int = 8 << 20
     #: bytes of regions sorted at once
-    sort_bytes: int = 1 << 20
+    sort_bytes: int = 1 << 19
+    #: windows of a bucket judged at once, and bytes of regions sent at once
+    part_windows: int = 1 << 20
+    send_bytes: int = 4 << 20
     #: different regions of one fingerprint from which its windows are spread, and to a part
     hot_regions: int = 20_000
     #: answers of this many bytes at most are sent to all executors; larger ones meet the chunks by a shuffle
@@ -87,8 +92,8 @@ def _chunks(docs: DataFrame, s: SpanSettings, keep: tuple[str, ...]) -> DataFram
     spark = docs.sparkSession
     path = scratch(spark)
     made = docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, "chunk long, ids binary, offs binary, data binary, kept binary")
-    # small row groups, as readers decode a whole one
-    made.write.option("compression", "zstd").option("parquet.block.size", 4 * s.chunk_bytes).parquet(path)
+    # small row groups, as readers decode a whole one; their bytes are first looked at after a hundred rows, so the rows are counted
+    made.write.option("compression", "zstd").option("parquet.block.row.count.limit", GROUP).option("parquet.block.size", GROUP * s.chunk_bytes).parquet(path)
     return spark.read.schema(made.schema).parquet(path)
 
 
@@ -221,6 +226,24 @@ def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def _bytes_of(buf: np.ndarray, first: np.ndarray, size: np.ndarray, room: int = 1 << 18) -> np.ndarray:
+    """buf[_gather(first, size)], some positions at a time, as one takes eight times the room of its byte."""
+    total = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(total[-1]), buf.dtype)
+    for a, b in _pieces(total, room):
+        out[total[a] : total[b]] = buf[_gather(first[a:b], size[a:b])]
+    return out
+
+
+def _pieces(total: np.ndarray, room: int) -> Iterator[tuple[int, int]]:
+    """Runs of items whose sizes, with the running sums `total` from 0 on, fit `room` together; a larger one is alone."""
+    a = 0
+    while a < len(total) - 1:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + room, "right")) - 1)
+        yield a, b
+        a = b
+
+
 # --- bucket side ------------------------------------------------------------------
 
 
@@ -309,6 +332,33 @@ def least_owners(data: np.ndarray, first: np.ndarray, count: np.ndarray, key: np
     return number, bound, out
 
 
+def judged(data: np.ndarray, count: np.ndarray, key: np.ndarray, owner: np.ndarray, s: SpanSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of each entry a smaller id holds, 0: none, 1: all, 2: those in the mask; data: its regions, one after the other.
+
+    Only entries of one fingerprint have to do with each other, so some fingerprints are judged at a time."""
+    size = count + s.span - 1
+    first = np.cumsum(size) - size
+    state, mask = np.zeros(len(count), np.uint8), np.zeros(len(count), np.uint64)
+    order = np.argsort(key, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(order) else order
+    total = np.concatenate([[0], np.cumsum(count[order])])
+    edges = np.append(heads, len(order))
+    for u, v in _pieces(total[edges], s.part_windows):
+        part = np.sort(order[edges[u] : edges[v]])
+        c = count[part]
+        n = c + s.span - 1
+        number, bound, least = least_owners(_bytes_of(data, first[part], n), np.cumsum(n) - n, c, key[part], owner[part], s)
+        entry = np.repeat(np.arange(len(c)), c)
+        smaller = least[_gather(bound[number], c)] < owner[part][entry]
+        hits = np.bincount(entry[smaller], minlength=len(c))
+        state[part] = np.where(hits == 0, 0, np.where(hits == c, 1, 2))
+        step = (np.arange(len(entry)) - (np.cumsum(c) - c)[entry])[smaller]
+        bits = np.zeros(len(c), np.uint64)
+        np.bitwise_or.at(bits, entry[smaller], np.uint64(1) << step.astype(np.uint64))
+        mask[part] = bits
+    return state, mask
+
+
 # --- plan -------------------------------------------------------------------------
 
 
@@ -398,34 +448,26 @@ def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text:
                 b, lo, hi = _split(got.bucket)
                 count = (got.last - got.first + 1)[got.lead]
                 size = count + s.span - 1
-                data = buf[_gather(got.first[got.lead], size)].tobytes()
                 end = np.concatenate([[0], np.cumsum(size)])
-                cuts = list(zip(lo, hi, strict=True))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array(b.astype(np.int64)),
-                        "chunk": pa.array(np.full(len(b), chunk)),
-                        "keys": pa.array([got.key[x:y].tobytes() for x, y in cuts], pa.binary()),
-                        "owners": pa.array([got.owner[x:y].tobytes() for x, y in cuts], pa.binary()),
-                        "counts": pa.array([count[x:y].astype(np.uint8).tobytes() for x, y in cuts], pa.binary()),
-                        "data": pa.array([data[end[x] : end[y]] for x, y in cuts], pa.binary()),
-                    }
-                )
+                for u, v in _pieces(np.append(end[lo], end[-1]), s.send_bytes):
+                    x0, cuts = lo[u], list(zip(lo[u:v], hi[u:v], strict=True))
+                    data = _bytes_of(buf, got.first[got.lead[x0 : hi[v - 1]]], size[x0 : hi[v - 1]]).tobytes()
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "bucket": pa.array(b[u:v].astype(np.int64)),
+                            "chunk": pa.array(np.full(v - u, chunk)),
+                            "keys": pa.array([got.key[x:y].tobytes() for x, y in cuts], pa.binary()),
+                            "owners": pa.array([got.owner[x:y].tobytes() for x, y in cuts], pa.binary()),
+                            "counts": pa.array([count[x:y].astype(np.uint8).tobytes() for x, y in cuts], pa.binary()),
+                            "data": pa.array([data[end[x] - end[x0] : end[y] - end[x0]] for x, y in cuts], pa.binary()),
+                        }
+                    )
 
     def held_by_smaller(rows: list[tuple]) -> pa.RecordBatch:
         key, owner, count = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in ((2, np.uint64), (3, np.int64), (4, np.uint8)))
-        count = count.astype(np.int64)
         data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        size = count + s.span - 1
-        number, bound, least = least_owners(data, np.cumsum(size) - size, count, key, owner, s)
-        # 0: none of the region's windows, 1: all, 2: see the mask
-        entry = np.repeat(np.arange(len(count)), count)
-        smaller = least[_gather(bound[number], count)] < np.repeat(owner, count)
-        hits = np.bincount(entry[smaller], minlength=len(count))
-        state = np.where(hits == 0, 0, np.where(hits == count, 1, 2)).astype(np.uint8)
-        bit = np.uint64(1) << (np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
-        mask = np.zeros(len(count), np.uint64)
-        np.bitwise_or.at(mask, entry[smaller], bit[smaller])
+        rows[:] = [r[:5] for r in rows]  # the bytes are not held twice
+        state, mask = judged(data, count.astype(np.int64), key, owner, s)
         out = {"chunk": [], "bucket": [], "states": [], "masks": []}
         a = 0
         for r in rows:
@@ -472,12 +514,15 @@ def _result(ids: np.ndarray, off: np.ndarray, buf: np.ndarray, got: Shared, mask
     own = np.where(got.occurs > got.owner[got.entry], np.uint64(0xFFFFFFFFFFFFFFFF), mask[got.entry]) if len(count) else np.empty(0, np.uint64)
     some = np.flatnonzero(own)
     count, own = count[some], own[some]
-    at = _gather(got.first[some], count)
-    step = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-    at = at[(np.repeat(own, count) >> step.astype(np.uint64)) & np.uint64(1) == 1]
+    first = got.first[some]
     cover = np.zeros(len(buf) + s.span + 1, np.int8)
-    cover[at] += 1  # window starts are distinct
-    cover[at + s.span] -= 1
+    for x, y in _pieces(np.concatenate([[0], np.cumsum(count)]), s.part_windows >> 2):
+        c = count[x:y]
+        at = _gather(first[x:y], c)
+        step = _gather(np.zeros(y - x, np.int64), c)
+        at = at[(np.repeat(own[x:y], c) >> step.astype(np.uint64)) & np.uint64(1) == 1]
+        cover[at] += 1  # window starts are distinct
+        cover[at + s.span] -= 1
     gone = np.cumsum(cover, dtype=np.int32)[: len(buf)] > 0
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]

@@ -7,6 +7,8 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -180,6 +182,44 @@ def test_the_greatest_id_is_an_id(spark):
     assert got == {top: 60, None: 0, 5: 0}
 
 
+def test_spans_read_a_few_chunks_at_a_time(spark):
+    from mailloom.llm.common import BATCH_BYTES, small_batches
+
+    size = 1 << 20
+    small_batches(spark)
+    docs = spark.range(40).selectExpr("id as doc_id", f"repeat(cast(id % 10 as string), {size}) as text").coalesce(1)
+    chunks = suffix_dedup._chunks(docs, suffix_dedup.SpanSettings(chunk_bytes=size), ())
+    file = chunks.inputFiles()
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in file]
+    assert max(m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)) <= suffix_dedup.GROUP
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(x) for x in b.column(0).to_pylist())])})
+
+    got = [r["n"] for r in chunks.select("data").mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 40 * size and max(got) <= BATCH_BYTES + size
+
+
+def test_spans_are_judged_in_little_memory():
+    import tracemalloc
+
+    s = suffix_dedup.SpanSettings()
+    r = np.random.default_rng(5)
+    entries = 120_000
+    count = np.full(entries, 32, np.int64)
+    text = r.integers(97, 123, (entries // 2, s.span + 31), dtype=np.uint8)
+    data, key = np.concatenate([text, text]).ravel(), np.tile(np.arange(entries // 2, dtype=np.uint64), 2)
+    owner = np.arange(entries)
+    tracemalloc.start()
+    state, mask = suffix_dedup.judged(data, count, key, owner, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 3.8 million windows: one array of their numbers has 31 MB, and all of them at once took 117
+    assert not state[: entries // 2].any() and (state[entries // 2 :] == 1).all() and peak < 80e6
+    assert (mask[entries // 2 :] == (1 << 32) - 1).all()
+
+
 def test_spans_awkward(spark):
     docs = awkward(spark)
     got = suffix_dedup.repeated_spans(docs, with_text=True, keep=("lang", "score")).collect()
