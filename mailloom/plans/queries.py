@@ -337,7 +337,8 @@ def _exports(spark: SparkSession, sf: str) -> str:
         F.lit("False").alias("has_attachments"), F.lit("True").alias("is_read"), F.floor(F.col("doc_id") / EXPORT_DOCUMENTS).alias("part"),
     )
     quoted = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8"}
-    row.write.partitionBy("part").options(**quoted).csv(f"{path}/table")
+    # a folder of one file each, into however many pieces the table is read
+    row.repartition("part").write.partitionBy("part").options(**quoted).csv(f"{path}/table")
     return path
 
 

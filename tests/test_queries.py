@@ -39,3 +39,14 @@ def test_query(spark, duck, name):
 
 def test_entry_and_names():
     assert set(ORACLES) == set(QUERIES)
+
+
+def test_exports_do_not_depend_on_how_a_table_is_cut(spark, tmp_path):
+    from mailloom.plans.queries import _exports
+
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/conversations.parquet").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    path = _exports(spark, str(tmp_path))
+    for folder, kind in (("mail", "json"), ("table", "csv")):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").load(f"{path}/{folder}")
+        assert files.count() == 1  # all ids are below 200
