@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from mailloom.operators import prompts, provider, validate
@@ -19,8 +21,8 @@ from mailloom.sources.store import LOGS, Store, now
 
 #: bytes of a row group of the batches' documents
 MEMBER_BYTES = 4 << 20
-#: batches whose answers are validated and saved together
-VALIDATED = 32
+#: batches that are read, and whose answers are validated and saved, together: so many, or characters of documents, at most
+VALIDATED, VALIDATED_CHARS = 128, 8 << 20
 
 
 def document_size(document: Column) -> Column:
@@ -58,8 +60,8 @@ def analyze(
 ) -> dict[str, Any]:
     """Analyse what is new or changed; the summary counts the outcomes and lists the errors.
 
-    The driver only makes the calls, which must not be repeated; replies are logged one by one and
-    validated together, VALIDATED batches in one plan.
+    The driver only makes the calls, which must not be repeated; replies are logged one by one, a small file
+    each, and validated together, up to VALIDATED batches in one plan.
     """
     owner = owner.strip()
     if not owner:
@@ -91,18 +93,33 @@ def analyze(
         members.repartitionByRange("batch").sortWithinPartitions("batch", "rank").write.option("parquet.block.size", MEMBER_BYTES).parquet(f"{at}/members")
         members = spark.read.schema(members.schema).parquet(f"{at}/members")
         batch_identity(members, "batch", "rank", F.col("json"), prompts.VERSION).write.parquet(f"{at}/identities")
-        identities = {r["batch"]: (r["batch_id"], r["input_sha256"]) for r in spark.read.parquet(f"{at}/identities").collect()}  # one short row a call
+        # one short row a call
+        identities = {r["batch"]: (r["batch_id"], r["input_sha256"]) for r in spark.read.parquet(f"{at}/identities").collect()}
+        sizes = {r["batch"]: r["n"] for r in batched.where("batch is not null").groupBy("batch").agg(F.sum("size").alias("n")).collect()}
         asking = _Asking(store, owner, model, verifier_model or model, call, retries, sleep)
-        for first in range(0, plan["batches"], VALIDATED):
-            last = min(first + VALIDATED, plan["batches"]) - 1
-            answers = [row for b in range(first, last + 1) for row in asking.batch(*identities[b], members.where(F.col("batch") == b), summary)]
+        for first, last in _together([sizes[b] for b in range(plan["batches"])]):
+            some = members.where(F.col("batch").between(first, last))
+            rows = some.orderBy("rank").select("batch", "thread_id", "json").collect()
+            answers = [row for b, own in itertools.groupby(rows, key=lambda r: r["batch"]) for row in asking.batch(*identities[b], list(own), summary)]
             if answers:
-                _judge(store, members.where(F.col("batch").between(first, last)), answers, summary)
+                _judge(store, some, answers, summary)
         return summary
     finally:
         store.remove(work)
 
 
+def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """First and last of the batches that are taken together, whose documents have these sizes."""
+    first = chars = 0
+    for b, size in enumerate(sizes):
+        if b > first and (b - first == VALIDATED or chars + size > VALIDATED_CHARS):
+            yield first, b - 1
+            first, chars = b, 0
+        chars += size
+    if sizes:
+        yield first, len(sizes) - 1
+
+
 def _rows(df: DataFrame) -> DataFrame:
     """With the log's other columns as nulls, and the time."""
     have = set(df.columns)
@@ -120,17 +137,15 @@ class _Asking:
         self.store, self.owner, self.models, self.provider, self.retries, self.sleep = store, owner, {"extraction": model, "verification": verifier}, call, retries, sleep
         self.invocation = uuid.uuid4().hex[:8]
 
-    def batch(self, batch_id: str, digest: str, members: DataFrame, summary: dict[str, Any]) -> list[tuple[str, str | None, str | None]]:
+    def batch(self, batch_id: str, digest: str, rows: list[Row], summary: dict[str, Any]) -> list[tuple[str, str | None, str | None]]:
         """thread_id and both answers as JSON text; nothing if a call fails, so that its threads are taken again."""
-        # one batch is max_threads documents of max_chars together
-        rows = members.orderBy("rank").select("thread_id", "json").collect()
         ids = [r["thread_id"] for r in rows]
         payload: dict[str, Any] = {"prompt_version": prompts.VERSION, "threads": [json.loads(r["json"]) for r in rows]}
 
         def log(phase: str, status: str, reply: provider.Reply | None = None, error: str | None = None) -> None:
             name = provider.model_name(reply.model) if reply and reply.model else self.models.get(phase, self.models["extraction"])
             row = (batch_id, phase, status, json.dumps(ids), digest, reply and reply.agent_id, reply and reply.id, name, reply and reply.result, error, reply and reply.duration_ms, now())
-            self.store.append("runs", self.store.spark.createDataFrame([row], LOGS["runs"]))
+            self.store.log("runs", row)
 
         def ask(phase: str, prompt: str) -> dict:
             name = self.models[phase]

@@ -155,6 +155,24 @@ def test_dry_run_oversized_and_failures(store, tmp_path):
     assert {(r["phase"], r["status"]) for r in store.table("runs").collect()} == {("extraction", "finished"), ("pipeline", "failed")}
 
 
+def test_calls_take_no_jobs_of_their_own(store, tmp_path):
+    def jobs(n, again=0):
+        rows = [{"email_id": f"{n}m{k}", "conversation_id": f"{n}t{k:03d}", "body": "some words to quote", "body_type": "text"} for k in range(n)]
+        put_csv(tmp_path / f"{n}.csv", rows)
+        ingest(store, [str(tmp_path / f"{n}.csv")])
+        group = f"calls-{n}"
+        store.spark.sparkContext.setJobGroup(group, group)
+        out = analyze(store, "me@x.org", call=scripted("some words"), max_threads=1)
+        made = len(store.spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        assert out["batches"] == n + again and out["partial"] == n + again  # the quotes are of other messages
+        return made
+
+    few, many = jobs(2), jobs(24, 2)
+    assert many < few + 24  # a read and two logs for each of the 24 made 72 more
+    runs = [r["phase"] for r in store.table("runs").collect()]
+    assert runs.count("extraction") == runs.count("verification") == 28
+
+
 def test_cli(store, tmp_path, spark, capsys):
     out = []
     put(tmp_path / "m.json", [{"id": "1", "body": "b"}])
