@@ -73,10 +73,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 BATCH_BYTES = 8 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = BATCH_BYTES) -> None:
     """Bound the rows and the bytes of an Arrow batch, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -196,14 +196,14 @@ def same_spans(buf: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray,
     return same
 
 
-def classes_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
+def classes_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray | None = None, room: int = 1 << 20) -> np.ndarray:
     """A number for each span, the same for equal bytes only. Hashes propose, every proposal is compared."""
     key = span_hashes(buf, start, end) if key is None else key
     order = np.argsort(key, kind="stable")
     new = np.ones(len(key), bool)
     new[1:] = key[order][1:] != key[order][:-1]
     here, before = order[~new], order[np.flatnonzero(~new) - 1]
-    same = same_spans(buf, start[here], end[here], start[before], end[before])
+    same = same_spans(buf, start[here], end[here], start[before], end[before], room)
     if not same.all():  # different bytes of one hash: told apart by the bytes
         odd = np.isin(key, key[here[~same]])
         known: dict[bytes, int] = {}

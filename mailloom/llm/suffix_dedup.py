@@ -49,6 +49,8 @@ PART = 40
 MANY = 8
 #: chunks in a row group
 GROUP = 4
+#: bytes gathered or compared at once, as the position of one takes eight
+ROOM = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -62,10 +64,14 @@ class SpanSettings:
     #: bytes of regions sorted at once
     sort_bytes: int = 1 << 19
     #: windows of a bucket judged at once, and bytes of regions sent at once
-    part_windows: int = 1 << 20
-    send_bytes: int = 4 << 20
-    #: different regions of one fingerprint from which its windows are spread, and to a part
+    part_windows: int = 1 << 18
+    send_bytes: int = 2 << 20
+    #: different regions of one fingerprint from which its windows are spread, and parts for each so many
+    #: (a region has about 25 windows, and 67 bytes of each are sent)
     hot_regions: int = 20_000
+    hot_parts: int = 8
+    #: bytes from which an Arrow batch of chunks or messages takes no more rows
+    batch_bytes: int = 2 << 20
     #: answers of this many bytes at most are sent to all executors; larger ones meet the chunks by a shuffle
     broadcast_bytes: int = 32 << 20
 
@@ -193,7 +199,7 @@ class Shared:
         if into.any():
             key, full, bucket = self._spread(buf, key, full, bucket, into, s)
         owner = ids[self.doc] if len(key) else np.empty(0, np.int64)
-        same = classes_of(buf, self.first, self.last + s.span, full)
+        same = classes_of(buf, self.first, self.last + s.span, full, ROOM)
         order = np.lexsort((owner, same, key, bucket))
         k, f = key[order], same[order]
         head = np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])]) if len(order) else np.empty(0, bool)
@@ -226,7 +232,7 @@ def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def _bytes_of(buf: np.ndarray, first: np.ndarray, size: np.ndarray, room: int = 1 << 18) -> np.ndarray:
+def _bytes_of(buf: np.ndarray, first: np.ndarray, size: np.ndarray, room: int = ROOM) -> np.ndarray:
     """buf[_gather(first, size)], some positions at a time, as one takes eight times the room of its byte."""
     total = np.concatenate([[0], np.cumsum(size)])
     out = np.empty(int(total[-1]), buf.dtype)
@@ -247,39 +253,58 @@ def _pieces(total: np.ndarray, room: int) -> Iterator[tuple[int, int]]:
 # --- bucket side ------------------------------------------------------------------
 
 
+def _named(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rank of each value among the different ones, and how many there are."""
+    order = np.argsort(x)
+    ranks = np.zeros(len(x), np.int32)
+    np.cumsum(x[order[1:]] != x[order[:-1]], out=ranks[1:], dtype=np.int32)
+    names = np.empty(len(x), np.int32)
+    names[order] = ranks
+    return names, int(ranks[-1]) + 1 if len(x) else 0
+
+
 def cover_order(s: np.ndarray, depth: int) -> np.ndarray:
     """Rank of every suffix of s (non-negative), right as far as the first `depth` symbols decide.
 
-    Difference cover {1, 2} modulo 3. The last `depth` + 3 symbols should be zeros.
+    Difference cover {1, 2} modulo 3. The last `depth` + 3 symbols should be zeros. What a level does
+    not need while the next one is sorted is made again after it, and numbers are no wider than they must be.
     """
     n = len(s)
     s = np.concatenate([s, np.zeros(3, s.dtype)])
     wide = int(s.max()) + 1
-    one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
-    sampled = np.concatenate([one, two])
-    pair = s[:-1] * wide + s[1:]
-    if wide**3 >= 1 << 62:
-        pair = np.unique(pair, return_inverse=True)[1]
-    top = int(pair.max()) + 1
-    names, name = np.unique(pair[sampled] * wide + s[sampled + 2], return_inverse=True)
-    if depth > 3 and len(names) < len(sampled):
-        name = cover_order(np.concatenate([name + 1, np.zeros(-(-depth // 3) + 3, name.dtype)]), -(-depth // 3))[: len(sampled)]
-    rank = np.zeros(n + 3, np.int64)
-    rank[sampled] = name + 1
-    most = int(rank.max()) + 1
-    assert top * most < 1 << 63
-    near, far = s[:n] * most + rank[1 : n + 1], pair[:n] * most + rank[2 : n + 2]
-    by_name = sampled[np.argsort(name, kind="stable")]
-    rest = zero[np.argsort(near[zero], kind="stable")]
-    before = np.searchsorted(near[by_name[by_name % 3 == 1]], near[rest]) + np.searchsorted(far[by_name[by_name % 3 == 2]], far[rest])
+    kind = np.int32 if wide**3 < 1 << 31 else np.int64
+
+    def pairs() -> np.ndarray:
+        pair = s[:-1].astype(kind) * kind(wide) + s[1:]
+        return _named(pair)[0].astype(np.int64) if wide**3 >= 1 << 62 else pair
+
+    pair = pairs()
+    name, names = _named(np.concatenate([pair[k:n:3] * kind(wide) + s[k + 2 : n + 2 : 3] for k in (1, 2)]))
+    del pair
+    ones, sampled = len(range(1, n, 3)), len(name)
+    if depth > 3 and names < sampled:
+        name = cover_order(np.concatenate([name + 1, np.zeros(-(-depth // 3) + 3, name.dtype)]), -(-depth // 3))[:sampled]
+    rank = np.zeros(n + 3, np.int32)
+    rank[1:n:3], rank[2:n:3] = name[:ones] + 1, name[ones:] + 1
+    by_name = np.argsort(name, kind="stable").astype(np.int32)
+    del name
+    by_name = np.where(by_name < ones, 3 * by_name + 1, 3 * (by_name - ones) + 2)
+    most, pair = int(rank.max()) + 1, pairs()
+    assert (int(pair.max()) + 1) * most < 1 << 63
+    near = s[:n:3].astype(np.int64) * most + rank[1 : n + 1 : 3]
+    rest = np.argsort(near, kind="stable").astype(np.int32)
+    at = by_name[by_name % 3 == 1]
+    before = np.searchsorted(s[at].astype(np.int64) * most + rank[at + 1], near[rest])
+    at = by_name[by_name % 3 == 2]
+    near = pair[:n:3].astype(np.int64) * most + rank[2 : n + 2 : 3]
+    before += np.searchsorted(pair[at].astype(np.int64) * most + rank[at + 2], near[rest])
+    del pair, near, at, rank
     place = np.arange(len(rest)) + np.maximum.accumulate(before) if len(rest) else rest
-    order = np.empty(n, np.int64)
-    taken = np.zeros(n, bool)
-    taken[place] = True
-    order[place] = rest
-    order[~taken] = by_name
-    out = np.empty(n, np.int64)
-    out[order] = np.arange(n)
+    free = np.ones(n, bool)
+    free[place] = False
+    out = np.empty(n, np.int32)
+    out[3 * rest] = place
+    out[by_name] = np.flatnonzero(free)
     return out
 
 
@@ -287,25 +312,28 @@ def window_classes(data: np.ndarray, first: np.ndarray, count: np.ndarray, span:
     """Class of every window of regions of data: region k has count[k] windows from first[k] on."""
     size = count + span - 1
     # regions one after the other, with a zero after each
-    start = np.cumsum(size + 1) - (size + 1)
-    text = np.zeros(int((size + 1).sum()) + span + 3, np.int64)
-    text[_gather(start, size)] = data[_gather(first, size)].astype(np.int64) + 1
+    end = np.cumsum(size + 1)
+    start, filled = end - (size + 1), np.ones(int(end[-1]), bool)
+    filled[end - 1] = False
+    text = np.zeros(len(filled) + span + 3, np.int16)
+    text[: len(filled)][filled] = _bytes_of(data, first, size).astype(np.int16) + 1
+    del filled
     window = _gather(start, count)
     window = window[np.argsort(cover_order(text, span)[window], kind="stable")]
     raw = np.lib.stride_tricks.sliding_window_view((text - 1).astype(np.uint8), span)
     new = np.ones(len(window), bool)
-    for a in range(1, len(window), 100_000):
-        b = min(a + 100_000, len(window))
+    for a in range(1, len(window), 20_000):
+        b = min(a + 20_000, len(window))
         new[a:b] = (raw[window[a:b]] != raw[window[a - 1 : b - 1]]).any(1)
-    back = np.zeros(len(text), np.int64)
-    back[window] = np.cumsum(new) - 1
+    back = np.zeros(len(text), np.int32)
+    back[window] = np.cumsum(new, dtype=np.int32) - 1
     return back[_gather(start, count)]
 
 
 def least_owners(data: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray, owner: np.ndarray, s: SpanSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For entries (regions with the smallest id that holds each): a distinct region's number for
     each entry, by its bytes, and per distinct region's windows the smallest id, with the windows' bounds."""
-    _, lead, number = np.unique(classes_of(data, first, first + count + s.span - 1), return_index=True, return_inverse=True)
+    _, lead, number = np.unique(classes_of(data, first, first + count + s.span - 1, room=ROOM), return_index=True, return_inverse=True)
     low = np.full(len(lead), NO_ID, np.int64)
     np.minimum.at(low, number, owner)
     bound = np.concatenate([[0], np.cumsum(count[lead])])
@@ -400,6 +428,7 @@ def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text:
     chunks = _chunks(docs, s, keep)
     total = chunks.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = max(8, -(-int(total) // s.bucket_bytes))
+    small_batches(docs.sparkSession, size=s.batch_bytes)  # from here on a row is a chunk or a message
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,7 +456,7 @@ def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text:
         for c, r in zip(codes, rows, strict=True):
             places, n = np.frombuffer(r[3], np.uint32).reshape(-1, 2).T
             np.add.at(different, np.searchsorted(every, c[places]), n.astype(np.int64) - 1)
-        parts = np.where(different > s.hot_regions, -(-different // s.hot_regions), 0)
+        parts = np.where(different > s.hot_regions, -(-different * s.hot_parts // s.hot_regions), 0)
         twice, hot = every[chunks_of > 1], every[parts > 0]
         hit = [np.isin(c, twice, assume_unique=True) for c in codes]
         warm = [np.flatnonzero(np.isin(c, hot, assume_unique=True)) if len(hot) else np.empty(0, np.int64) for c in codes]
@@ -465,8 +494,11 @@ def repeated_spans(docs: DataFrame, s: SpanSettings = SpanSettings(), with_text:
 
     def held_by_smaller(rows: list[tuple]) -> pa.RecordBatch:
         key, owner, count = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in ((2, np.uint64), (3, np.int64), (4, np.uint8)))
-        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        rows[:] = [r[:5] for r in rows]  # the bytes are not held twice
+        data, a = np.empty(sum(len(r[5]) for r in rows), np.uint8), 0
+        for k, r in enumerate(rows):  # the bytes are not held twice
+            data[a : a + len(r[5])] = np.frombuffer(r[5], np.uint8)
+            a += len(r[5])
+            rows[k] = r[:5]
         state, mask = judged(data, count.astype(np.int64), key, owner, s)
         out = {"chunk": [], "bucket": [], "states": [], "masks": []}
         a = 0
@@ -516,28 +548,28 @@ def _result(ids: np.ndarray, off: np.ndarray, buf: np.ndarray, got: Shared, mask
     count, own = count[some], own[some]
     first = got.first[some]
     cover = np.zeros(len(buf) + s.span + 1, np.int8)
-    for x, y in _pieces(np.concatenate([[0], np.cumsum(count)]), s.part_windows >> 2):
+    for x, y in _pieces(np.concatenate([[0], np.cumsum(count)]), s.part_windows):
         c = count[x:y]
         at = _gather(first[x:y], c)
         step = _gather(np.zeros(y - x, np.int64), c)
         at = at[(np.repeat(own[x:y], c) >> step.astype(np.uint64)) & np.uint64(1) == 1]
         cover[at] += 1  # window starts are distinct
         cover[at + s.span] -= 1
-    gone = np.cumsum(cover, dtype=np.int32)[: len(buf)] > 0
+    gone = np.cumsum(cover, dtype=np.int16)[: len(buf)] > 0
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     heads = off[:-1][off[:-1] < len(buf)]
     begins[heads] = gone[heads]
     doc_of = lambda x: np.bincount(np.searchsorted(off, np.flatnonzero(x), "right") - 1, minlength=len(ids))
     spans = doc_of(begins)
-    total = np.zeros(len(buf) + 1, np.int32)
-    np.cumsum(gone, out=total[1:], dtype=np.int32)
-    removed = total[off[1:]] - total[off[:-1]]
+    removed, full = np.zeros(len(ids), np.int64), off[1:] > off[:-1]
+    if full.any():
+        removed[full] = np.add.reduceat(gone, off[:-1][full], dtype=np.int64)
     raw, left = buf.tobytes(), []
     for d in range(len(ids)):
         a, b = off[d], off[d + 1]
         left.append(raw[a:b] if not removed[d] else buf[a:b][~gone[a:b]].tobytes())
-    out = {"doc_id": pa.array(ids), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}
+    out = {"doc_id": pa.array(ids), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}
     if with_text:
         out["text"] = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
     return pa.RecordBatch.from_pydict(out)

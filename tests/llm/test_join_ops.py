@@ -220,6 +220,58 @@ def test_spans_are_judged_in_little_memory():
     assert (mask[entries // 2 :] == (1 << 32) - 1).all()
 
 
+def phrases(regions, windows):
+    """Regions of one 26-byte phrase, all in different contexts: bytes, counts, keys."""
+    text = np.random.default_rng(5).integers(97, 107, (regions, windows + 49), dtype=np.uint8)
+    text[:, windows - 1 : windows + 25] = np.frombuffer(b"the phrase of all of them.", np.uint8)
+    return text, np.full(regions, windows, np.int64), np.zeros(regions, np.uint64)
+
+
+def test_many_contexts_of_one_phrase_are_sorted_in_little_memory():
+    import tracemalloc
+
+    s = suffix_dedup.SpanSettings()
+    text, count, key = phrases(s.hot_regions, 25)
+    text[1::2, -25:] = text[::2, -25:]  # every other region shares its last window with the one before, and no more
+    text[::2, 23], text[1::2, 23] = ord("x"), ord("y")
+    tracemalloc.start()
+    state, mask = suffix_dedup.judged(text.ravel(), count, key, np.arange(len(count)), s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 1.5 million symbols that must be sorted together took 187 MB, at each of an executor's workers
+    assert peak < 90e6
+    assert not state[::2].any() and (state[1::2] == 2).all() and (mask[1::2] == 1 << 24).all()
+
+
+def test_parts_of_a_hot_phrase_are_small(spark, monkeypatch):
+    s = suffix_dedup.SpanSettings(hot_regions=100, bucket_bytes=1 << 20, chunk_bytes=20_000)
+    text, _, _ = phrases(1000, 25)
+    some = np.random.default_rng(6).integers(97, 123, (5000, 26), dtype=np.uint8)
+    text[:, 24:50] = some[np.argmin([suffix_dedup.Prefix(x).fixed(26)[0] for x in some])]  # which the screen picks in nearly every window
+    rows = [(k, bytes(x).decode()) for k, x in enumerate(text)]
+    heard = []
+    plan = suffix_dedup._by_bucket
+
+    def listening(sent, answer, schema):
+        if "keys" in sent.columns:
+            heard.extend(sent.selectExpr("bucket", "length(keys) div 8 as n").groupBy("bucket").sum("n").collect())
+        return plan(sent, answer, schema)
+
+    monkeypatch.setattr(suffix_dedup, "_by_bucket", listening)
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), s)
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got.collect()} == plain_spans(rows)
+    parts = [n for b, n in heard if b >> suffix_dedup.PART]
+    # 25000 windows, or nearly: ten parts of 2500 before
+    assert sum(parts) > 20_000 and len(parts) >= 70 and max(parts) < 600
+
+
+def test_chunks_and_messages_are_read_in_small_batches(spark):
+    docs = spark.range(8).selectExpr("id as doc_id", "repeat(cast(id as string), 3000000) as text")
+    got = suffix_dedup.repeated_spans(docs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+    assert [r["n_removed"] for r in got.collect()] == [0] * 8
+
+
 def test_spans_awkward(spark):
     docs = awkward(spark)
     got = suffix_dedup.repeated_spans(docs, with_text=True, keep=("lang", "score")).collect()
